@@ -117,7 +117,7 @@ CTES["fx_scope"] = f"""SELECT list_distinct(list_concat({", ".join(content(tok("
 @query(
     "scope_gate",
     """SELECT request_id, len(qc) > 0 AND NOT list_has_any(qc, terms) AS out_of_scope,
-         CASE WHEN len(qc) > 0 AND NOT list_has_any(qc, terms) THEN 0.95 END AS confidence
+         CASE WHEN len(qc) > 0 AND NOT list_has_any(qc, terms) THEN 0.95::DOUBLE END AS confidence
        FROM fx_qtok JOIN (SELECT DISTINCT request_id FROM fx_evidence) USING (request_id), fx_scope""",
 )
 def scope_gate(spark, sf):
@@ -227,7 +227,7 @@ SELECT *, CASE WHEN valid THEN CASE WHEN claim_n = 0 OR missing > 0 THEN 0.0 ELS
 
 
 def own_claims(spark, sf):
-    claims = G.claims_of(sample_answers(spark, sf))
+    claims = G.claims_of(sample_answers(spark, sf)).filter("is_claim")
     return (
         claims.withColumn("plain", T.strip_citations(F.col("claim")))
         .withColumn("claim_tokens", T.lexical_tokens(F.col("plain")))

@@ -13,7 +13,7 @@ from checks.base import CTES, content, sents, tok, unit
 from tessarine import fixed_values as V
 from tessarine.functions import text as T
 from tessarine.operators import retrieval
-from tessarine.session import spread
+from tessarine.session import spread, spread_by
 
 FULL, PREFIX = 64, 16
 
@@ -30,7 +30,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     vectors = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")
     )
@@ -80,7 +80,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     start = F.array_join(F.slice(T.content_tokens(F.col("base")), 1, 3), " ")
     foreign = F.when(F.col("language") == "en", "fr").otherwise("en")
     own = F.when(F.floor(F.col("doc_id") / 5) % 2 == 1, F.col("language"))
-    return base.select(
+    out = base.select(
         F.concat(F.lit("r"), "doc_id").alias("request_id"),
         "doc_id",
         "v",
@@ -100,6 +100,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
         F.col("query_id"),
         F.col("language"),
     )
+    return spread_by(out, "request_id")
 
 
 CTES["fx_base"] = f"""

@@ -251,9 +251,9 @@ SELECT * FROM (SELECT h.*, r.query, r.language_code, r.budget_ms,
 @query("language_filter", "SELECT request_id, chunk_id, rank, language FROM fx_cut")
 def language_filter(spark, sf):
     requests = X.requests(spark, sf)
-    hits = K.two_stage_retrieve(requests, X.chunks(spark, sf), R.retrieval_depth())
-    asked = requests.select("request_id", "language_code", "final_k")
-    return R.language_filter(hits.join(asked, "request_id")).select("request_id", "chunk_id", "rank", "language")
+    asked = ("language_code", "final_k")
+    hits = K.two_stage_retrieve(requests, X.chunks(spark, sf), R.retrieval_depth(), asked)
+    return R.language_filter(hits).select("request_id", "chunk_id", "rank", "language")
 
 
 @query(

@@ -48,7 +48,7 @@ def _composing_seconds(limit: int) -> set[str]:
 def _fold_class() -> str:
     """Regex class of natively foldable characters, in the blocks worth checking."""
     seconds = _composing_seconds(0x3000)
-    blocks = [(0x00, 0x180), (0x900, 0x980), (0x2010, 0x2028)]
+    blocks = [(0x80, 0x180), (0x900, 0x980), (0x2010, 0x2028)]
     ranges: list[list[int]] = []
     for low, high in blocks:
         for code in range(low, high):
@@ -65,28 +65,30 @@ def _fold_class() -> str:
 FOLDABLE = _fold_class()
 
 
+def _outside_native(text: Column) -> Column:
+    """The text if some character needs Python, else ''."""
+    native = f"(?:[\\x00-\\x7f]++|[{FOLDABLE}]++)*+"  # plain ASCII runs take the quick branch
+    return F.regexp_extract(text, f"(?s)^(?!{native}\\z).+", 0)
+
+
 @F.pandas_udf(StringType())
 def _fold_in_python(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore"
-    )
+    return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold() if v else None)
+
+
+@F.pandas_udf(StringType())
+def _nfkc_in_python(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKC", v) if v else None)
 
 
 def fold(text: Column) -> Column:
     """NFKC + casefold.  Python sees only the values outside the native class."""
-    hard = text.rlike(f"[^{FOLDABLE}]")
     native = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return F.when(~hard, native).otherwise(_fold_in_python(F.when(hard, text)))
-
-
-@F.pandas_udf(StringType())
-def _nfkc_in_python(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+    return F.coalesce(_fold_in_python(_outside_native(text)), native)
 
 
 def nfkc(text: Column) -> Column:
-    hard = text.rlike(f"[^{FOLDABLE}]")
-    return F.when(~hard, text).otherwise(_nfkc_in_python(F.when(hard, text)))
+    return F.coalesce(_nfkc_in_python(_outside_native(text)), text)
 
 
 def strip(text: Column) -> Column:

@@ -47,11 +47,14 @@ def selection_score(coverage: Column, full_score: Column, specificity: Column) -
     )
 
 
-def scored_sentences(rows: DataFrame, min_score: float = V.SELECTION_MIN_SCORE) -> DataFrame:
+def scored_sentences(
+    rows: DataFrame, min_score: float = V.SELECTION_MIN_SCORE, on_first: Column | None = None
+) -> DataFrame:
     """Explode each row's chunk text into sentences and mark `eligible` ones with a score.
 
     Rows whose `usable` flag is false, or without sentences, stay as one row with a
-    null sentence, so refused requests are not lost.
+    null sentence, so refused requests are not lost.  `on_first` is a wide value kept
+    on each row's first sentence only; text and tokens do not follow the sentences.
     """
     usable = (
         F.col("usable")
@@ -61,11 +64,19 @@ def scored_sentences(rows: DataFrame, min_score: float = V.SELECTION_MIN_SCORE)
         & T.is_safe_citation_id(F.col("chunk_id"))
     )
     words = V.SELECTION_FUNCTION_WORDS
+    wide = F.lit(None).cast("string") if on_first is None else on_first
+    narrow = [c for c in rows.columns if c not in ("text", "evidence_tokens", "query_tokens")]
     exploded = (
-        rows.withColumn("_spans", F.when(usable, T.sentences(F.col("text"))))
-        .withColumn("_query", F.array_distinct(T.content_tokens(F.col("query"), words)))
-        .select("*", F.posexplode_outer("_spans").alias("sentence_index", "span"))
-        .drop("_spans")
+        rows.withColumn("_query", F.array_distinct(T.content_tokens(F.col("query"), words)))
+        .withColumn(
+            "_spans",
+            F.transform(
+                F.when(usable, T.sentences(F.col("text"))),
+                lambda s, i: F.struct(s.alias("span"), F.when(i == 0, wide).alias("on_first")),
+            ),
+        )
+        .select(*narrow, "_query", F.posexplode_outer("_spans").alias("sentence_index", "_s"))
+        .select(*narrow, "_query", "sentence_index", "_s.span", "_s.on_first")
         .withColumn("_tokens", F.array_distinct(T.content_tokens(F.col("span"), words)))
         .withColumn("matched", F.size(F.array_intersect("_query", "_tokens")))
         .withColumn("sentence_coverage", F.try_divide(F.col("matched"), F.size("_query")))

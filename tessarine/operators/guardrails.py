@@ -260,12 +260,17 @@ def is_safe_refusal(answer: Column, refusals: tuple[str, ...] = (V.SAFE_REFUSAL_
 
 
 def claims_of(answers: DataFrame) -> DataFrame:
-    """One row per claim: stripped of list marks, with lexical content, in order."""
+    """One row per sentence of each answer, list marks removed; `is_claim` if it has words.
+
+    An answer without sentences keeps one row with a null claim.
+    """
     return (
         answers.withColumn("_sentences", T.sentences(F.col("answer")))
-        .select("*", F.posexplode("_sentences").alias("claim_index", "_claim"))
+        .select("*", F.posexplode_outer("_sentences").alias("claim_index", "_claim"))
         .withColumn("claim", T.strip_markdown_prefix(F.col("_claim")))
-        .filter(F.col("claim").rlike(r"[\p{L}\p{M}\p{N}]"))
+        .withColumn(
+            "is_claim", F.coalesce(F.col("claim").rlike(r"[\p{L}\p{M}\p{N}]"), F.lit(False))
+        )
         .drop("_claim", "_sentences")
     )
 
@@ -289,8 +294,9 @@ def groundedness(
     for name, kind in (("problem", "string"), ("judge_verdict", "boolean"), ("budget_ms", "double")):
         if name not in answers.columns:
             answers = answers.withColumn(name, F.lit(None).cast(kind))
+    carried = [c for c in answers.columns if c != "request_id"]
     checked = (
-        claims_of(answers.select("request_id", "answer", "evidence"))
+        claims_of(answers)
         .withColumn("cited", T.citations(F.col("claim")))
         .withColumn("plain", T.strip_citations(F.col("claim")))
         .withColumn("claim_tokens", T.lexical_tokens(F.col("plain")))
@@ -307,7 +313,8 @@ def groundedness(
         )
         .withColumn(
             "valid",
-            (F.size("cited") > 0)
+            F.col("is_claim")
+            & (F.size("cited") > 0)
             & (F.size(F.array_except("cited", "known")) == 0)
             & (F.size("claim_content") > 0),
         )
@@ -320,7 +327,8 @@ def groundedness(
         )
         .withColumn(
             "verdict",
-            F.when(F.col("valid") & (F.col("support") >= min_support), "supported")
+            F.when(~F.col("is_claim"), F.lit(None).cast("string"))
+            .when(F.col("valid") & (F.col("support") >= min_support), "supported")
             .when(F.col("valid") & (F.col("support") >= ambiguous_support), "ambiguous")
             .otherwise("unsupported"),
         )
@@ -330,13 +338,14 @@ def groundedness(
         lambda s: s["x"],
     )
     per_answer = checked.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("claims"),
-        F.avg("support").alias("score"),
+        F.nullif(F.count_if("is_claim"), F.lit(0)).alias("claims"),
+        F.avg(F.when(F.col("is_claim"), F.col("support"))).alias("score"),
         F.array_distinct(F.flatten(pick("supported", F.col("cited")))).alias("supporting_chunk_ids"),
         F.count_if(F.col("verdict") == "ambiguous").alias("ambiguous_claims"),
         F.count_if(F.col("verdict") == "unsupported").alias("unsupported"),
         pick("unsupported", F.when(F.col("plain") != "", F.col("plain")).otherwise(F.col("claim"))).alias("_unsupported"),
         pick("ambiguous", F.col("plain")).alias("_ambiguous"),
+        *[F.first(c).alias(c) for c in carried],
     )
     none = F.array().cast("array<string>")
     refusal = is_safe_refusal(F.col("answer"), refusals)
@@ -350,8 +359,7 @@ def groundedness(
         ((F.col("unsupported") == 0) & (F.col("ambiguous_claims") == 0)) | accepted
     )
     return (
-        answers.join(per_answer, "request_id", "left")
-        .withColumn("is_grounded", F.coalesce(grounded, F.lit(False)))
+        per_answer.withColumn("is_grounded", F.coalesce(grounded, F.lit(False)))
         .withColumn("_accepted", F.coalesce(accepted, F.lit(False)))
         .withColumn(
             "judge_used",

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessarine.functions import vectors
+from tessarine.functions.vectors import SCORE_PLACES
+from tessarine.session import spread_by
 
 CHUNK_TILE = 65_536
 REQUEST_TILE = 65_536
@@ -85,7 +87,7 @@ def _tile_best(requests: pd.DataFrame, chunks: pd.DataFrame) -> Iterator[pd.Data
             {
                 "request_id": request_ids[part][rows],
                 "chunk_id": ids[cols],
-                "score": np.round(exact, vectors.SCORE_PLACES),
+                "score": np.round(exact, SCORE_PLACES),
                 "k": requests["k"].to_numpy()[part][rows],
             }
         )
@@ -105,8 +107,9 @@ def best_in_tiles(requests: DataFrame, chunks: DataFrame, tile: list[str]) -> Da
     `tile` columns; a tile must be small enough for one task on either side.
     """
     return (
-        requests.groupBy(*tile)
-        .cogroup(chunks.groupBy(*tile))
+        spread_by(requests, *tile)
+        .groupBy(*tile)
+        .cogroup(spread_by(chunks, *tile).groupBy(*tile))
         .applyInPandas(_tile_pairs, "request_id string, chunk_id string, score double, k int")
     )
 
@@ -125,15 +128,20 @@ def prefix_candidates_block(
     k: str = "candidate_k",
     chunk_tile: int = CHUNK_TILE,
     request_tile: int = REQUEST_TILE,
+    chunk_rows: int | None = None,
+    request_rows: int | None = None,
 ) -> DataFrame:
     """Exact stage 1: (request_id, chunk_id, mrl_score, mrl_rank) with rank <= k.
 
     Chunk vectors travel once per request block (one block up to 65,536 requests)
-    and request vectors once per chunk block; neither passes the driver.
+    and request vectors once per chunk block; neither passes the driver.  Row counts
+    (upper bounds will do) are taken from the caller if known, else counted.
     """
     cores = chunks.sparkSession.sparkContext.defaultParallelism
-    chunk_blocks = _blocks(chunks.count(), chunk_tile, cores)
-    request_blocks = max(1, math.ceil(requests.count() / request_tile))
+    chunk_rows = chunks.count() if chunk_rows is None else chunk_rows
+    request_rows = requests.count() if request_rows is None else request_rows
+    chunk_blocks = _blocks(chunk_rows, chunk_tile, cores)
+    request_blocks = max(1, math.ceil(request_rows / request_tile))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = requests.select(
@@ -171,38 +179,44 @@ def top_k_of_scores(scored: DataFrame, k: int) -> DataFrame:
 
 
 def full_rerank(
-    candidates: DataFrame, requests: DataFrame, chunks: DataFrame, final_k: Column | None = None
+    candidates: DataFrame,
+    requests: DataFrame,
+    chunks: DataFrame,
+    final_k: Column | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Exact full-vector score of each candidate; ties keep the candidate order.
 
     Only vectors (and language, for the later filter) are fetched here; text joins
     after the cut.  Candidates are joined with the request first, which needs no
-    further shuffle as they are already distributed by request.
+    further shuffle as they are already distributed by request; request columns in
+    `carry` come along in the same join.
     """
-    carried = [c for c in ("language",) if c in chunks.columns]
-    query = requests.select("request_id", F.col("full").alias("_q"))
+    held = [c for c in ("language",) if c in chunks.columns]
+    limit = F.lit(None).cast("int") if final_k is None else final_k
+    query = requests.select("request_id", F.col("full").alias("_q"), limit.alias("_limit"), *carry)
     scored = (
         candidates.join(query, "request_id")
-        .join(chunks.select("chunk_id", F.col("full").alias("_c"), *carried), "chunk_id")
+        .join(chunks.select("chunk_id", F.col("full").alias("_c"), *held), "chunk_id")
         .withColumn("full_score", vectors.score(F.col("_q"), F.col("_c")))
         .drop("_q", "_c")
     )
     order = Window.partitionBy("request_id").orderBy(F.desc("full_score"), "mrl_rank")
     ranked = scored.withColumn("rank", F.row_number().over(order))
-    if final_k is None:
-        return ranked
-    limits = requests.select("request_id", final_k.alias("_limit"))
-    return ranked.join(limits, "request_id").filter("rank <= _limit").drop("_limit")
+    return (ranked if final_k is None else ranked.filter("rank <= _limit")).drop("_limit")
 
 
 def two_stage_retrieve(
-    requests: DataFrame, chunks: DataFrame, final_k: Column | None = None
+    requests: DataFrame,
+    chunks: DataFrame,
+    final_k: Column | None = None,
+    carry: tuple[str, ...] = (),
+    **counts: int,
 ) -> DataFrame:
     """Request table to ranked rows (request_id, chunk_id, rank, mrl_score, full_score)."""
-    candidates = prefix_candidates_block(requests, chunks)
-    return full_rerank(
-        candidates, requests, chunks, F.col("final_k") if final_k is None else final_k
-    )
+    candidates = prefix_candidates_block(requests, chunks, **counts)
+    depth = F.col("final_k") if final_k is None else final_k
+    return full_rerank(candidates, requests, chunks, depth, carry)
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
@@ -281,8 +295,9 @@ def vector_pairs(
         F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"),
     )
     parts = (
-        left.groupBy("q", "c")
-        .cogroup(right.groupBy("q", "c"))
+        spread_by(left, "q", "c")
+        .groupBy("q", "c")
+        .cogroup(spread_by(right, "q", "c").groupBy("q", "c"))
         .applyInPandas(
             _tile_summary,
             "request_id string, n long, total double, best double, worst double",

@@ -11,6 +11,7 @@ from tessarine.operators import answers as A
 from tessarine.operators import guardrails as G
 from tessarine.operators import requests as R
 from tessarine.operators import retrieval as K
+from tessarine.session import spread_by
 
 
 def final_outcome() -> Column:
@@ -40,14 +41,14 @@ def status_of(outcome: Column) -> Column:
     )
 
 
-def retrieve_evidence(requests: DataFrame, chunks: DataFrame) -> DataFrame:
+def retrieve_evidence(requests: DataFrame, chunks: DataFrame, **counts: int) -> DataFrame:
     """Safe requests to their final evidence rows with chunk text.
 
     Retrieval goes as deep as the language filter needs; text joins after the cut.
     """
-    hits = K.two_stage_retrieve(requests, chunks, R.retrieval_depth())
-    asked = requests.select("request_id", "query", "language_code", "final_k", "budget_ms")
-    cut = R.language_filter(hits.join(asked, "request_id"))
+    asked = ("query", "language_code", "final_k", "budget_ms")
+    hits = K.two_stage_retrieve(requests, chunks, R.retrieval_depth(), asked, **counts)
+    cut = spread_by(R.language_filter(hits), "request_id")
     return K.with_chunks(cut, chunks, ["document_id", "text"])
 
 
@@ -55,9 +56,11 @@ def select_answers(assessed: DataFrame) -> DataFrame:
     """Assessed evidence rows to one row per request with the extract and its evidence.
 
     Windows and aggregate all work on `request_id`: one distribution serves them all.
+    The chunk's tokens ride on its first sentence only.
     """
     rows = A.scored_sentences(
-        assessed.withColumn("usable", F.col("accepted") & (F.col("set_class") == "correct"))
+        assessed.withColumn("usable", F.col("accepted") & (F.col("set_class") == "correct")),
+        on_first=F.col("evidence_tokens"),
     )
     order = [F.desc("eligible"), F.desc("selection_score"), "rank", "chunk_id", "sentence_index"]
     same_span = Window.partitionBy("request_id", "span").orderBy(*order)
@@ -70,7 +73,7 @@ def select_answers(assessed: DataFrame) -> DataFrame:
     )
     best = F.when((F.col("_place") == 1) & F.col("_counts"), F.struct("chunk_id", "span", "sentence_coverage", "margin"))
     first_sentence = F.coalesce(F.col("sentence_index"), F.lit(0)) == 0
-    held = F.when(F.col("usable") & first_sentence, F.struct("chunk_id", F.col("evidence_tokens").alias("tokens")))
+    held = F.when(F.col("usable") & first_sentence, F.struct("chunk_id", F.col("on_first").alias("tokens")))
     return (
         ranked.groupBy("request_id")
         .agg(
@@ -109,7 +112,8 @@ def answer_batch(
     """
     checked = G.input_safety(requests)
     safe = checked.filter("is_safe")
-    evidence = retrieve_evidence(safe, chunks)
+    rows = chunks.count()
+    evidence = retrieve_evidence(safe, chunks, chunk_rows=rows, request_rows=requests.count())
     selected = select_answers(G.assess_relevance(evidence, scope_terms))
     routed = A.hybrid_routing(selected, fallback)
     contract = G.citation_contract(
@@ -120,7 +124,7 @@ def answer_batch(
         grounded.drop("budget_ms"), "request_id", "left"
     )
     # A language without matching rows leaves retrieval non-empty but evidence empty.
-    has_chunks = F.lit(0 if chunks.isEmpty() else 1)
+    has_chunks = F.lit(rows)
     filled = (
         verdict.withColumn("retrieved", F.when(F.col("is_safe"), has_chunks))
         .withColumn(

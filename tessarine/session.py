@@ -56,3 +56,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute rows by key over a fixed number of partitions ahead of heavy work.
+
+    Rows that are small in bytes but costly to process (ids about to fetch long texts)
+    would otherwise be merged into a few tasks by adaptive coalescing.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
