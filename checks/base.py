@@ -30,13 +30,14 @@ def query(key: str, sql: str | None = None):
 def with_ctes(sql: str) -> str:
     """Prefix a statement with the named sub-queries it uses, directly or not."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
-        for name, body in CTES.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                visit(body)
-                if name not in needed:
-                    needed.append(name)
+        for name in re.findall(r"\bfx_\w+", text):
+            if name in CTES and name not in seen:
+                seen.add(name)
+                visit(CTES[name])
+                needed.append(name)
 
     visit(sql)
     if not needed:

@@ -291,3 +291,9 @@ def offset_problems(chunks: DataFrame, documents: DataFrame) -> DataFrame:
         .when(F.substring("_source", start + 1, end - start) != F.col("text"), "not_the_source_slice")
     )
     return chunks.join(source, "document_id", "left").withColumn("problem", problem).drop("_source")
+
+
+def merge_metadata(base: Column, own: Column) -> Column:
+    """Base map overlaid by the chunk's own map: the later key wins."""
+    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k))
+    return F.map_concat(kept, own)
