@@ -207,10 +207,6 @@ def normalize_passage_shape(spark, sf):
     zipped = F.arrays_zip("passages.Translated_passages", "passages.English_passages")
     as_rows = r.filter("record_no % 2 = 1").withColumn("passages", zipped)
     rows = corpus.normalize_passages(as_rows)
-    sizes = lambda d, real: d.select(
-        "record_no", *[F.size(c).cast("long").alias(c) for c in ("translated", "english", "selected")]
-    )
-    del sizes
     count = lambda c: F.size(c).cast("long").alias(c)
     even = wide.select("record_no", count("translated"), count("english"), count("selected"))
     trimmed = lambda c: F.size(F.filter(c, lambda x: x.isNotNull())).cast("long").alias(c)
@@ -384,11 +380,8 @@ def chunk_numbering(spark, sf):
 
 
 # Token walk: the SQL holds token offsets as lists; windows of 500 tokens.
-CTES["fx_tokens_all"] = r"""
-SELECT doc_id, text, pieces, list_transform(range(1, len(pieces) + 1), lambda i: list_sum(list_transform(pieces[1:i], lambda p: length(p)))::BIGINT) AS ends
-FROM (SELECT doc_id, text, regexp_extract_all(text, '\s*\S+') AS pieces FROM documents) WHERE len(pieces) > 0"""
 CTES["fx_token_ends"] = r"""
-SELECT doc_id, text, n, list(e ORDER BY i) AS ends, list(e - w ORDER BY i) AS starts FROM (
+SELECT doc_id, text, n, list(e::BIGINT ORDER BY i) AS ends, list((e - w)::BIGINT ORDER BY i) AS starts FROM (
   SELECT doc_id, text, n, i, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e, length(regexp_replace(p, '^\s+', '')) AS w FROM (
     SELECT doc_id, text, len(pieces) AS n, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS p FROM (SELECT doc_id, text, regexp_extract_all(text, '\s*\S+') AS pieces FROM documents)))
 GROUP BY doc_id, text, n"""
@@ -604,7 +597,7 @@ def top_categories(spark, sf):
     "field_coverage",
     """SELECT language, field, present, records, round(present / records, 6) AS rate FROM (
        SELECT language, count(*) AS records, unnest(['source_lang', 'target_lang', 'meta', 'query', 'Answer', 'query_id', 'query_type', 'passages', 'Eng_Query', 'Eng_Answer', 'meta.model_name', 'meta.temperature', 'meta.max_tokens', 'meta.top_p']) AS field,
-         unnest([count(*), count(*), count(*), count_if(query <> ''), count_if(answer <> ''), count(query_id), count(*), count(*), count_if(eng_query <> ''), 0, count_if(model_name <> ''), count(temperature), count(max_tokens), count(*)]) AS present FROM fx_records GROUP BY language)""",
+         unnest([count(*), count(*), count(*), count_if(query <> ''), count_if(answer <> ''), count(query_id), count(*), count(*), count_if(coalesce(eng_query, '') <> ''), 0, count_if(model_name <> ''), count(temperature), count(max_tokens), count(*)]) AS present FROM fx_records GROUP BY language)""",
 )
 def field_coverage(spark, sf):
     return P.field_coverage(records(spark, sf)).withColumn("rate", r6("rate"))

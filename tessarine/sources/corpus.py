@@ -73,6 +73,13 @@ def artifact_sizes(spark: SparkSession, path: str) -> DataFrame:
     return files.rollup("artifact").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("files"))
 
 
+def _field_of_structs(name: str | None) -> Column:
+    """One field of an array of structs as text; nulls where the field does not exist."""
+    if name is None:
+        return F.transform("passages", lambda s: F.lit(None).cast("string"))
+    return F.transform("passages", lambda s: s[name].cast("string"))
+
+
 def normalize_passages(records: DataFrame) -> DataFrame:
     """Bring `passages` to three arrays: struct of arrays or array of structs, scalar or null."""
     kind = records.schema["passages"].dataType
@@ -80,11 +87,7 @@ def normalize_passages(records: DataFrame) -> DataFrame:
         fields = kind.elementType.fieldNames()
         either = lambda long, short: long if long in fields else short
         names = (either("Translated_passages", "translated"), either("English_passages", "english"), "is_selected")
-        parts = [
-            F.transform("passages", lambda s, n=n: s[n].cast("string")) if n in fields
-            else F.transform("passages", lambda s: F.lit(None).cast("string"))
-            for n in names
-        ]
+        parts = [_field_of_structs(n if n in fields else None) for n in names]
     else:
         parts = []
         for name in ("Translated_passages", "English_passages", "is_selected"):
