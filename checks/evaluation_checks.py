@@ -291,6 +291,7 @@ SELECT user_id || '-' || date_trunc('week', ts)::DATE AS session, event_id, ts,
 
 def session_events(events):
     kind = F.col("event_type")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     event = F.when(kind == "view", "audio").when(kind == "click", "partial").when(kind == "signup", "end").when(kind == "purchase", "committed").otherwise("answer")
     week = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
     return events.select(
@@ -399,7 +400,7 @@ _ADMIT = "SELECT identity, event_id, admitted FROM fx_admit"
 
 
 def _identified(events):
-    return events.select(F.col("user_id").cast("string").alias("identity"), "event_id", "ts")
+    return events.select(F.col("user_id").cast("string").alias("identity"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
 
 
 @query("admission_limit", _ADMIT)

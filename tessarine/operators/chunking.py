@@ -52,15 +52,20 @@ def naive_spans(text: Column, size: int, overlap: int) -> Column:
         hard = F.least(start + size, length)
         low = start + size // 2
         found = last_boundary(F.substring(text, low + 1, hard - low))
-        stop = F.when((hard < length) & (found > 0), low + found).otherwise(hard)
-        span = F.array(F.struct(start.alias("start"), stop.alias("stop")))
-        following = F.when(stop >= length, F.lit(-1)).otherwise(
-            F.greatest(start + 1, stop - overlap)
-        )
-        moved = F.struct(
-            following.cast("int").alias("start"),
-            F.concat(state["spans"], span.cast(spans_type)).alias("spans"),
-        )
+
+        def cut(b: Column) -> Column:
+            return F.when((b["hard"] < length) & (b["found"] > 0), low + b["found"]).otherwise(b["hard"])
+
+        def move(stop: Column) -> Column:
+            span = F.array(F.struct(start.alias("start"), stop.alias("stop")))
+            following = F.when(stop >= length, F.lit(-1)).otherwise(F.greatest(start + 1, stop - overlap))
+            return F.struct(
+                following.cast("int").alias("start"),
+                F.concat(state["spans"], span.cast(spans_type)).alias("spans"),
+            )
+
+        bound = F.struct(hard.alias("hard"), found.alias("found"))
+        moved = vectors.let(vectors.let(bound, cut), move)
         return F.when((start < 0) | (length == 0), state).otherwise(moved)
 
     return F.aggregate(_steps(length, size, overlap), first, step, lambda s: s["spans"])
@@ -131,8 +136,8 @@ def token_spans(window: Column, tokens: Column, target: int, overlap: int) -> Co
         F.array().cast(_SPAN).alias("spans"),
     )
 
-    def head(raw: Column, count: int, tail: str = "") -> Column:
-        return F.regexp_extract(raw, f"(?U)^{one}{{0,{count}}}+{tail}", 0)
+    def head(raw: Column, count: int) -> Column:
+        return F.regexp_extract(raw, f"(?U)^{one}{{0,{count}}}+", 0)
 
     def skip(raw: Column, count: Column) -> Column:
         """Length of the first `count` tokens with the space before each."""
@@ -141,29 +146,51 @@ def token_spans(window: Column, tokens: Column, target: int, overlap: int) -> Co
 
     def step(state: Column, _: Column) -> Column:
         at, rest = state["at"], state["rest"]
-        part = head(rest, target)
         hard = F.least(at + target, tokens)
-        low = F.char_length(head(rest, half, f"{ws}*+"))
-        tail = F.substring(part, low + 1, F.lit(2**31 - 1))
-        found = last_boundary(tail)
-        inside = T.word_count(F.substring(tail, F.lit(1), found))
-        last = F.when((hard < tokens) & (found > 0) & (inside > 0), at + half + inside).otherwise(hard)
-        width = F.when(last == hard, F.char_length(part)).otherwise(skip(part, last - at))
-        lead = T.leading_space(rest)
-        span = F.array(
-            F.struct(at.alias("first"), last.alias("last"), (state["chars"] + lead).alias("chars"), (width - lead).alias("width"))
-        ).cast(_SPAN)
-        following = F.greatest(at + 1, last - overlap)
-        moved_chars = skip(part, following - at)
-        done = last >= tokens
-        return F.when(at < 0, state).otherwise(
-            F.struct(
-                F.when(done, F.lit(-1)).otherwise(following).cast("int").alias("at"),
-                (state["chars"] + moved_chars).cast("int").alias("chars"),
-                F.when(done, F.lit("")).otherwise(F.substring(rest, moved_chars + 1, F.lit(2**31 - 1))).alias("rest"),
-                F.concat(state["spans"], span).alias("spans"),
+
+        def search(p: Column) -> Column:
+            low = F.char_length(F.regexp_extract(p["part"], f"(?U)^{one}{{0,{half}}}+{ws}*+", 0))
+            tail = F.substring(p["part"], low + 1, F.lit(2**31 - 1))
+            return vectors.let(
+                F.struct(tail.alias("tail"), last_boundary(tail).alias("found")),
+                lambda t: F.when(t["found"] > 0, T.word_count(F.substring(t["tail"], F.lit(1), t["found"]))).otherwise(0),
             )
+
+        def cut(p: Column) -> Column:
+            """Token after the last one of this chunk."""
+            inside = F.when(p["hard"] < tokens, search(p)).otherwise(0)
+            return vectors.let(inside, lambda n: F.when(n > 0, at + half + n).otherwise(p["hard"]))
+
+        def move(b: Column) -> Column:
+            last, part = b["last"], b["p"]["part"]
+            width = F.when(last == b["p"]["hard"], F.char_length(part)).otherwise(skip(part, last - at))
+            lead = T.leading_space(part)
+            span = F.array(
+                F.struct(at.alias("first"), last.alias("last"), (state["chars"] + lead).alias("chars"), (width - lead).alias("width"))
+            ).cast(_SPAN)
+            return F.when(
+                last >= tokens,
+                F.struct(
+                    F.lit(-1).alias("at"), state["chars"].alias("chars"), F.lit("").alias("rest"),
+                    F.concat(state["spans"], span).alias("spans"),
+                ),
+            ).otherwise(
+                vectors.let(
+                    skip(part, F.greatest(at + 1, last - overlap) - at),
+                    lambda gone: F.struct(
+                        F.greatest(at + 1, last - overlap).alias("at"),
+                        (state["chars"] + gone).alias("chars"),
+                        F.substring(rest, gone + 1, F.lit(2**31 - 1)).alias("rest"),
+                        F.concat(state["spans"], span).alias("spans"),
+                    ),
+                )
+            )
+
+        piece = F.struct(head(rest, target).alias("part"), hard.alias("hard"))
+        moved = vectors.let(
+            vectors.let(piece, lambda p: F.struct(p.alias("p"), cut(p).cast("int").alias("last"))), move
         )
+        return F.when(at < 0, state).otherwise(moved)
 
     return F.aggregate(_steps(tokens, target, overlap), first, step, lambda s: s["spans"])
 

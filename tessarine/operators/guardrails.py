@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessarine import fixed_values as V
 from tessarine.functions import text as T
 from tessarine.functions import vectors
+from tessarine.session import spread_by
 
 ALL_RULES = tuple(rule for _, rule, _ in V.UNSAFE_RULES)
 
@@ -199,8 +200,12 @@ def set_relevance(rows: DataFrame, scope_terms: tuple[str, ...] = ()) -> DataFra
 
 
 def assess_relevance(evidence: DataFrame, scope_terms: tuple[str, ...] = ()) -> DataFrame:
-    """Evidence rows (request_id, query, chunk_id, text, scores, rank) to verdict rows."""
-    tokens = evidence.withColumn("query_tokens", T.content_tokens(F.col("query"))).withColumn(
+    """Evidence rows (request_id, query, chunk_id, text, scores, rank) to verdict rows.
+
+    One distribution by request serves every window from here to the answer, including
+    those that partition by (request_id, chunk_id) or (request_id, span).
+    """
+    tokens = spread_by(evidence, "request_id").withColumn("query_tokens", T.content_tokens(F.col("query"))).withColumn(
         "evidence_tokens", T.lexical_tokens(F.col("text"))
     )
     return set_relevance(chunk_relevance(evidence_problem(tokens)), scope_terms)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+SMALL_GROUP = 100_000  # groups below this many rows stay in one bucket
 _ONE = "_one"
 
 
@@ -34,13 +35,18 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
 
 
 def with_buckets(
-    df: DataFrame, keys: list[str], order: str, buckets: int = BUCKETS
+    df: DataFrame, keys: list[str], order: str, buckets: int = BUCKETS, small: int | None = None
 ) -> DataFrame:
-    """Add `_bucket`, non-decreasing in the numeric column `order` within `keys`."""
+    """Add `_bucket`, non-decreasing in the numeric column `order` within `keys`.
+
+    Only groups of at least `small` rows are cut.
+    """
+    small = SMALL_GROUP if small is None else small
     cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(order, cuts, F.lit(buckets * 20))).alias("_edges")
-    )
+        F.array_distinct(F.percentile_approx(order, cuts, F.lit(buckets * 20))).alias("_edges"),
+        F.count(F.lit(1)).alias("_rows"),
+    ).withColumn("_edges", F.when(F.col("_rows") >= small, F.col("_edges")).otherwise(F.slice("_edges", 1, 0))).drop("_rows")
     return (
         attach(df, edges, keys)
         .withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order))))

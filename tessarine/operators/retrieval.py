@@ -161,10 +161,14 @@ def prefix_candidates_block(
 
 
 def top_k(hits: DataFrame) -> DataFrame:
-    """Merge local winners: best `k` per request by score, then chunk id."""
+    """Merge local winners: best `k` per request by score, then chunk id.
+
+    The rows stay distributed by request for the rerank that follows.
+    """
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), "chunk_id")
     return (
-        hits.withColumn("mrl_rank", F.row_number().over(order))
+        spread_by(hits, "request_id")
+        .withColumn("mrl_rank", F.row_number().over(order))
         .filter("mrl_rank <= k")
         .select("request_id", "chunk_id", F.col("score").alias("mrl_score"), "mrl_rank")
     )

@@ -11,7 +11,6 @@ from tessarine.operators import answers as A
 from tessarine.operators import guardrails as G
 from tessarine.operators import requests as R
 from tessarine.operators import retrieval as K
-from tessarine.session import spread_by
 
 
 def final_outcome() -> Column:
@@ -48,7 +47,7 @@ def retrieve_evidence(requests: DataFrame, chunks: DataFrame, **counts: int) ->
     """
     asked = ("query", "language_code", "final_k", "budget_ms")
     hits = K.two_stage_retrieve(requests, chunks, R.retrieval_depth(), asked, **counts)
-    cut = spread_by(R.language_filter(hits), "request_id")
+    cut = R.language_filter(hits)
     return K.with_chunks(cut, chunks, ["document_id", "text"])
 
 

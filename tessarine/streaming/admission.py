@@ -62,6 +62,7 @@ def admission_limit(
     window_seconds: float = V.ADMISSION_WINDOW_SECONDS,
     limit: int = V.SESSIONS_PER_WINDOW,
     slices: int = SLICES,
+    small: int | None = None,
 ) -> DataFrame:
     """(identity, event_id, ts) to the same rows with `admitted`.
 
@@ -73,7 +74,7 @@ def admission_limit(
     """
     timed = events.select("identity", "event_id", F.col("ts").cast("double").alias("at"))
     base = materialize(
-        with_buckets(timed, ["identity"], "at", slices).withColumnRenamed("_bucket", "slice"),
+        with_buckets(timed, ["identity"], "at", slices, small).withColumnRenamed("_bucket", "slice"),
         "admission-input",
     )
     walk = _slices_in_order(window_seconds, limit)
