@@ -24,7 +24,7 @@ SELECT event_id, user_id, ts, event_type AS stage, CASE WHEN k % 7 > 0 THEN valu
 def latency(events):
     k = F.get_json_object("props", "$.k").cast("long")
     return events.select(
-        "event_id", "user_id", "ts", F.col("event_type").alias("stage"), F.when(k % 7 > 0, F.col("value")).alias("ms"), (k % 10 == 0).alias("failed")
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.when(k % 7 > 0, F.col("value")).alias("ms"), (k % 10 == 0).alias("failed")
     )
 
 
@@ -421,7 +421,7 @@ def admission_stream(spark, sf):
 def stream_latency_windows(spark, sf):
     """The streaming report as a batch; the stream is compared with it in the tests."""
     return runs.latency_windows(latency_rows(spark, sf), "1 day", "1 hour", 500.0).select(
-        "window_start", "stage", "samples", "failed", r6("mean").alias("mean"), "p100"
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "stage", "samples", "failed", r6("mean").alias("mean"), "p100"
     )
 
 
