@@ -43,7 +43,11 @@ def _steps(length: Column, size: int, overlap: int) -> Column:
 
 def naive_spans(text: Column, size: int, overlap: int) -> Column:
     """Array of (start, end) character spans of the recursive-character walk."""
-    length = F.char_length(text)
+    measured = F.struct(text.alias("text"), F.char_length(text).alias("length"))
+    return vectors.let(measured, lambda d: _walk(d["text"], d["length"], size, overlap))
+
+
+def _walk(text: Column, length: Column, size: int, overlap: int) -> Column:
     spans_type = "array<struct<start:int,stop:int>>"
     first = F.struct(F.lit(0).alias("start"), F.array().cast(spans_type).alias("spans"))
 

@@ -44,14 +44,18 @@ def with_buckets(
     small = SMALL_GROUP if small is None else small
     cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(order, cuts, F.lit(buckets * 20))).alias("_edges"),
+        F.percentile_approx(order, cuts, F.lit(buckets * 20)).alias("_edges"),
         F.count(F.lit(1)).alias("_rows"),
     ).withColumn("_edges", F.when(F.col("_rows") >= small, F.col("_edges")).otherwise(F.slice("_edges", 1, 0))).drop("_rows")
-    return (
-        attach(df, edges, keys)
-        .withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order))))
-        .drop("_edges")
-    )
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length()))])
+
+    def halve(low: Column, step: Column) -> Column:
+        """Binary search: move up by `step` if the edge there is still below the value."""
+        below = F.coalesce(F.get("_edges", low + step - 1) < F.col(order), F.lit(False))
+        return low + F.when(below, step).otherwise(0)
+
+    bucket = F.aggregate(halves, F.lit(0), halve)
+    return attach(df, edges, keys).withColumn("_bucket", bucket).drop("_edges")
 
 
 def _carried(bucketed: DataFrame, keys: list[str], amount: Column, name: str) -> DataFrame:
