@@ -57,9 +57,6 @@ def slowest_n(spark, sf):
     return E.slowest(latency_rows(spark, sf), "ms", "event_id").select("event_id", "stage", "ms")
 
 
-_STAGES = ("view", "click", "signup")
-
-
 @query(
     "stage_unpivot",
     " UNION ALL ".join(
@@ -220,21 +217,30 @@ def failures_by_type(spark, sf):
 
 
 def _matches(spark, sf):
-    d = X.documents(spark, sf)
-    attempts = d.filter("doc_id % 2 = 1").select("doc_id", F.upper("text").alias("transcript"))
-    return E.reference_matches(attempts, d.filter("doc_id % 2 = 0").select(F.col("text").alias("reference")))
+    """All documents in capitals and all conversation turns against all document and benchmark texts."""
+    d, turns = X.documents(spark, sf), X.table(spark, sf, "conversations")
+    attempts = d.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.upper("text").alias("transcript")).unionByName(
+        turns.select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), F.col("text").alias("transcript"))
+    )
+    known = d.select(F.col("text").alias("reference")).unionByName(
+        X.table(spark, sf, "benchmark").select(F.col("text").alias("reference"))
+    )
+    return E.reference_matches(attempts, known)
+
+
+def _normal(expr):
+    return rf"trim(regexp_replace(regexp_replace(replace(lower({expr}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-_MATCHES = """SELECT a.doc_id, u.normal IS NOT NULL AS normalized, a.text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) AS strict FROM (
-  SELECT doc_id, upper(text) AS text, n.normal FROM documents JOIN fx_upper n USING (doc_id) WHERE doc_id % 2 = 1) a
-  LEFT JOIN (SELECT DISTINCT normal FROM fx_normal WHERE doc_id % 2 = 0) u ON u.normal = a.normal"""
-CTES["fx_upper"] = r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(upper(text)), 'ß', 'ss'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS normal FROM documents"""
+CTES["fx_attempts"] = "SELECT 'd' || doc_id AS id, upper(text) AS t FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations"
+CTES["fx_references"] = "SELECT text FROM documents UNION ALL SELECT text FROM benchmark"
+_MATCHES = f"""SELECT a.id, u.n IS NOT NULL AS normalized, a.t IN (SELECT text FROM fx_references) AS strict FROM (SELECT *, {_normal("t")} AS n FROM fx_attempts) a
+  LEFT JOIN (SELECT DISTINCT {_normal("text")} AS n FROM fx_references) u ON u.n = a.n"""
 
 
-@query("reference_match_join", f"SELECT doc_id, normalized, strict FROM ({_MATCHES})")
+@query("reference_match_join", f"SELECT id, normalized, strict FROM ({_MATCHES})")
 def reference_match_join(spark, sf):
-    """Attempts are the odd documents in capitals, references the even ones: two roles, no row left out."""
-    return _matches(spark, sf).select("doc_id", "normalized", "strict")
+    return _matches(spark, sf).select("id", "normalized", "strict")
 
 
 @query(
