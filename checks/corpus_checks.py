@@ -332,7 +332,7 @@ def has_digit_token(spark, sf):
     return _text(spark, sf, check(T.lexical_tokens(F.col("text"))).alias("digits"))
 
 
-@query("metadata_merge")
+@query("metadata_merge", "SELECT doc_id, 'late' AS strategy, lang AS language FROM documents")
 def metadata_merge(spark, sf):
     base = F.create_map(F.lit("language"), F.col("lang"), F.lit("strategy"), F.lit("none"))
     own = F.create_map(F.lit("strategy"), F.lit("late"), F.lit("source"), F.col("source"))
@@ -631,6 +631,6 @@ def language_mix(spark, sf):
     return P.language_mix(records(spark, sf), sizes).withColumn("byte_share", r6("byte_share"))
 
 
-@query("observed_schema")
+@query("observed_schema", "SELECT DISTINCT event_type, 'OBJECT<k: ' || json_type(props, '$.k').replace('UBIGINT', 'BIGINT') || '>' AS observed FROM events")
 def observed_schema(spark, sf):
     return P.observed_schema(X.table(spark, sf, "events"), "props", ["event_type"])

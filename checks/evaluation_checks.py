@@ -387,7 +387,11 @@ def session_timeout(spark, sf):
     return sessions.turn_timeout(session_rows(spark, sf), 86_400.0)
 
 
-@query("stream_session_timeout")
+@query(
+    "stream_session_timeout",
+    """SELECT session, due FROM (SELECT session, epoch_us(min(ts)) // 1000 + 86402000 AS due, epoch_us(min(ts) FILTER (event = 'end')) // 1000 AS ended FROM fx_sessions GROUP BY session)
+       WHERE due <= (SELECT epoch_us(max(ts)) // 1000 FROM events) AND NOT coalesce(ended <= due, false)""",
+)
 def stream_session_timeout(spark, sf):
     stream = session_events(event_stream(spark, sf))
     return runs.run_to_end(sessions.stream_turn_timeout(stream, 86_400.0), "timeouts")
