@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,3 +56,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             held += int(size)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def per_process(key: tuple, make):
+    """What `make` returns, kept while the Python worker lives: Spark reuses workers between tasks.
+
+    Task functions travel by value and so have no globals of their own that outlive a task.
+    """
+    kept = sys.modules.setdefault("_tessarine_kept", types.ModuleType("_tessarine_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.llm import simhash
+from tessarine.llm import simhash, token_files
+from tessarine.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +31,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return simhash.simhash_groups(docs).select("doc_id", "fingerprint", "component_id")
+
+
+def byte_bpe() -> str:
+    """The 50k byte-level vocabulary of the installed tokenizer files."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark, "token-files")
+    token_files.write_token_ids(table(spark, sf, "documents"), path, byte_bpe())
+    return token_files.read_token_ids(spark, path, with_ids=False)
