@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.llm import simhash, token_files
+from tessarine.llm import mixing, simhash, token_files
 from tessarine.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,66 @@ def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     token_files.write_token_ids(table(spark, sf, "documents"), path, byte_bpe())
     return token_files.read_token_ids(spark, path, with_ids=False)
+
+
+MIX_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    md5('7:' || coalesce(doc_id::VARCHAR, '')) AS draw, md5(concat(coalesce(doc_id::VARCHAR, chr(0)), ':', coalesce(text, chr(0)))) AS row_id
+  FROM documents),
+by_source AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS stop,
+    ceil(n / greatest(384, ceil(sum(n) OVER () / 65536.0)))::BIGINT AS shards FROM by_source),
+levels AS (
+  SELECT *, stop / weight AS ratio,
+    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(stop) OVER (ORDER BY stop / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY stop / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
+targets AS (
+  SELECT *, CASE WHEN ratio <= level THEN stop ELSE weight * (SELECT arg_min(level, ratio) FROM levels WHERE ratio > level) END AS target FROM levels),
+seats AS (SELECT *, round(sum(target) OVER () / 256)::BIGINT AS seats FROM targets),
+quotients AS (
+  SELECT source, target / (2 * k + 1) AS quotient, k, seats
+  FROM seats, range((SELECT max(seats) FROM seats)) AS r(k) WHERE k <= target / 256 + 30 AND target > 0),
+quotas AS (
+  SELECT source, count(*) AS quota FROM (
+    SELECT *, row_number() OVER (ORDER BY quotient DESC, source IS NULL, source, k) AS turn FROM quotients) WHERE turn <= seats GROUP BY source),
+placed AS (
+  SELECT d.*, t.source_size, t.target, coalesce(q.quota, 0) AS quota, ('0x' || substr(draw, 1, 8))::BIGINT % t.shards AS shard
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source),
+shards AS (
+  SELECT source, shard, sum(size)::BIGINT AS shard_size, max(quota) AS quota, max(source_size) AS source_size FROM placed GROUP BY source, shard HAVING sum(size) > 0),
+shard_quotients AS (
+  SELECT source, shard, quota, shard_size / (2 * k + 1) AS quotient, k
+  FROM shards, range((SELECT max(quota) + 1 FROM shards)) AS r(k)
+  WHERE k <= shard_size / source_size * quota + 30 AND k >= shard_size / source_size * quota - 30),
+shard_low AS (
+  SELECT source, shard, min(k) AS low FROM shard_quotients GROUP BY source, shard),
+shard_open AS (
+  SELECT source, sum(low) AS given FROM shard_low GROUP BY source),
+shard_won AS (
+  SELECT source, shard, count(*) AS won FROM (
+    SELECT q.*, row_number() OVER (PARTITION BY q.source ORDER BY quotient DESC, shard, k) AS turn, given
+    FROM shard_quotients q JOIN shard_open o ON q.source IS NOT DISTINCT FROM o.source) WHERE turn <= quota - given GROUP BY source, shard),
+shard_quotas AS (
+  SELECT s.*, ceil(shard_size / 256)::BIGINT AS blocks,
+    least(low + coalesce(won, 0), 2 * ceil(shard_size / 256)::BIGINT)::BIGINT AS given
+  FROM shards s JOIN shard_low l ON s.source IS NOT DISTINCT FROM l.source AND s.shard = l.shard
+  LEFT JOIN shard_won w ON s.source IS NOT DISTINCT FROM w.source AND s.shard = w.shard),
+laid AS (
+  SELECT p.*, sum(size) OVER (PARTITION BY source, shard ORDER BY draw, doc_id NULLS FIRST, size, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS b FROM placed p),
+spread AS (
+  SELECT l.*, b - size AS a, blocks, given // blocks AS passes, given % blocks AS once,
+    ('0x' || substr(md5('7:' || coalesce(l.source, '') || ':' || l.shard), 1, 8))::BIGINT % blocks AS shift
+  FROM laid l LEFT JOIN shard_quotas q ON l.source IS NOT DISTINCT FROM q.source AND l.shard = q.shard)
+SELECT doc_id, size, source_size, target, (coalesce(passes, 0) * size + coalesce(list_sum(list_transform(
+    list_filter(range(a // 256, CASE WHEN size > 0 THEN (b - 1) // 256 + 1 ELSE a // 256 END),
+      lambda j: ((j + 1) * once + shift) // blocks > (j * once + shift) // blocks),
+    lambda j: least((j + 1) * 256, b) - greatest(j * 256, a))), 0))::BIGINT AS taken FROM spread
+"""
+
+
+@query("op4_mixing", MIX_SQL)
+def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    plan = mixing.mix_plan(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
