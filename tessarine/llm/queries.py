@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.llm import mixing, simhash, token_files
+from tessarine.llm import embedding, mixing, simhash, token_files
 from tessarine.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,23 @@ SELECT doc_id, size, source_size, target, (coalesce(passes, 0) * size + coalesce
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf, "documents").select("doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+VECTOR_SQL = """
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+good AS (
+  SELECT * FROM rows WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reached AS (SELECT r AS a, r AS b FROM rows UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+named AS (SELECT a, min(vec_id) AS component_id FROM reached JOIN rows ON reached.b = rows.r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = rows.r) AS n_links, component_id,
+  vec_id IS NOT DISTINCT FROM component_id AS kept FROM rows JOIN named ON named.a = rows.r
+"""
+
+
+@query("op5_embedding", VECTOR_SQL)
+def op5_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding.embedding_groups(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
