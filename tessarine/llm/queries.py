@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.llm import embedding, mixing, simhash, token_files
+from tessarine.llm import embedding, language, mixing, simhash, token_files
 from tessarine.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = rows.r) AS n_links, c
 @query("op5_embedding", VECTOR_SQL)
 def op5_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return embedding.embedding_groups(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query("op10_language")
+def op10_language(spark: SparkSession, sf: str) -> DataFrame:
+    found = language.identify_held_out(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "languages")
