@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.llm import embedding, language, mixing, simhash, token_files
+from tessarine.llm import embedding, language, lm, mixing, simhash, token_files
 from tessarine.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def op5_embedding(spark: SparkSession, sf: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     found = language.identify_held_out(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+@query("op9_language_model")
+def op9_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.language_model_scores(table(spark, sf, "documents").select("doc_id", "text"))
