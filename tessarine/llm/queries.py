@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.llm import embedding, language, lm, mixing, simhash, token_files
+from tessarine.llm import counts, embedding, language, lm, mixing, simhash, token_files
 from tessarine.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,11 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_language_model")
 def op9_language_model(spark: SparkSession, sf: str) -> DataFrame:
     return lm.language_model_scores(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    scores = counts.unigram_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.token_counts(table(spark, sf, "documents").select("doc_id", "text"), scores)
