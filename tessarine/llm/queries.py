@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.llm import counts, embedding, language, lm, mixing, simhash, token_files
+from tessarine.llm import counts, decontaminate, embedding, language, lm, mixing, simhash, token_files
 from tessarine.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,9 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
     scores = counts.unigram_scores(public_tokenizers.path("piece_bpe_32k.model"))
     return counts.token_counts(table(spark, sf, "documents").select("doc_id", "text"), scores)
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf, "benchmark"))
