@@ -48,7 +48,10 @@ class Index:
     """Coarse centres and, for each slice of CODED dimensions, CODES centres of residuals."""
 
     def __init__(self, sample: np.ndarray, cells: int):
-        self.centres = kmeans(sample, cells)
+        centres = kmeans(sample, cells)
+        off = centres - centres.mean(axis=0)
+        axis = np.linalg.eigh(off.T @ off)[1][:, -1]
+        self.centres = centres[np.argsort(off @ axis, kind="stable")]  # neighbours get near numbers
         rest = sample - self.centres[nearest(sample, self.centres)]
         self.slices = [slice(at, min(at + CODED, sample.shape[1])) for at in range(0, sample.shape[1], CODED)]
         self.books = [kmeans(rest[:, s], CODES) for s in self.slices]
@@ -61,8 +64,8 @@ class Index:
         left = [rest[:, s] - b[codes[:, k]] for k, (s, b) in enumerate(zip(self.slices, self.books, strict=True))]
         return cell, codes.astype(np.uint8), np.sqrt(sum((x**2).sum(1) for x in left))
 
-    def probes(self, units: np.ndarray, cell: np.ndarray, radius: float) -> list[np.ndarray]:
-        """All cells that can hold a vector within `radius`.
+    def probes(self, units: np.ndarray, cell: np.ndarray, radius: float) -> np.ndarray:
+        """Vectors by cells: whether the cell can hold a vector within `radius`.
 
         Such a vector lies on its own cell's side of the plane between two centres, so a cell
         counts if the plane is no further than the radius.
@@ -70,7 +73,12 @@ class Index:
         squared = distances(units, self.centres)
         gap = np.sqrt(distances(self.centres, self.centres))[cell]
         own = squared[np.arange(len(units)), cell][:, None]
-        return [np.flatnonzero(row) for row in squared - own <= 2 * gap * radius + LEEWAY]
+        return squared - own <= 2 * gap * radius + LEEWAY
+
+    def shelves(self, probes: np.ndarray, shelves: np.ndarray) -> list[np.ndarray]:
+        """The shelves that hold the probed cells, for vectors whose label has so many shelves."""
+        cells = np.arange(len(self.centres))
+        return [np.unique(cells[row] * n // len(cells)) for row, n in zip(probes, shelves, strict=True)]
 
     def table_distances(self, units: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of vectors to the coded members of a cell, by table look-up."""
@@ -97,8 +105,9 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     about SAMPLE representatives drawn by hash and places all of them; a representative looks into
     every cell that can hold a vector within the threshold's distance, and passes those members
     whose table distance, less their own coding error, is within it. Both bounds lose nothing, so
-    recall is complete; exact cosines decide. Members and visitors of a cell meet in tiles of
-    about TILE; a tile returns one count per visitor and a spanning forest, never its pairs.
+    recall is complete; exact cosines decide. A label's cells stand on shelves of about TILE members, neighbours
+    together, so that a visitor goes to a shelf once for all its cells there. Members and visitors
+    meet in tiles of about TILE; a tile returns one count per visitor and a spanning forest, never its pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without
     label, have no links and are their own component. Copies link with each other. A null vec_id
@@ -165,6 +174,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
 def _links(reps: DataFrame, index: Index, kind: str, width: int, threshold: float, radius: float) -> DataFrame:
     """(rep, links, root): counts of linked vectors by visitor, and spanning links rep-root."""
+    n_cells = len(index.centres)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,16 +182,19 @@ def _links(reps: DataFrame, index: Index, kind: str, width: int, threshold: floa
                 part = batch.slice(at, TILE)
                 units = _units(part.column("raw").to_pylist(), kind, width)
                 cell, codes, off = index.place(units)
-                arrays = [part.column(c) for c in part.schema.names]
+                shelves = part.column("shelves").to_numpy()
+                arrays = [part.column(c) for c in part.schema.names[:-1]]
                 arrays += [pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off)]
-                arrays += [pa.array(index.probes(units, cell, radius), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "cell", "codes", "off", "probes"])
+                arrays += [pa.array((cell * shelves // n_cells).astype(np.int32))]
+                arrays += [pa.array(index.shelves(index.probes(units, cell, radius), shelves), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names[:-1], "cell", "codes", "off", "shelf", "visits"])
 
-    placed = reps.select("rep", "label", "dim", "raw", "n").mapInArrow(
-        place, "rep string, label string, dim int, raw binary, n long, cell int, codes binary, off double, probes array<int>"
+    sizes = reps.groupBy("label", "dim").agg(F.least(F.ceil(F.count(F.lit(1)) / TILE), F.lit(n_cells)).cast("int").alias("shelves"))
+    placed = reps.join(sizes, ["label", "dim"]).select("rep", "label", "dim", "raw", "n", "shelves").mapInArrow(
+        place, "rep string, label string, dim int, raw binary, n long, cell int, codes binary, off double, shelf int, visits array<int>"
     )
     placed = stored(placed, "placed-vectors")
-    key = ["label", "dim", "cell"]
+    key = ["label", "dim", "shelf"]
 
     def tiles(rows: DataFrame, item: list[str], name: str) -> DataFrame:
         """Rows of one key packed into arrays of about TILE items."""
@@ -190,10 +203,10 @@ def _links(reps: DataFrame, index: Index, kind: str, width: int, threshold: floa
         packed = rows.join(crowded, key, "left").withColumn("part", part).groupBy(*key, "part")
         return stored(packed.agg(F.collect_list(F.struct(*item)).alias(name)).drop("part"), name)
 
-    members = tiles(placed, ["rep", "raw", "n", "codes", "off"], "members")
-    visits = placed.select("rep", "label", "dim", "raw", F.explode("probes").alias("cell"))
-    visitors = tiles(visits, ["rep", "raw"], "visitors")
-    met = visitors.join(members, key).select("cell", "visitors", "members")
+    members = tiles(placed, ["rep", "raw", "n", "cell", "codes", "off"], "members")
+    visits = placed.select("rep", "label", "dim", "raw", "cell", F.explode("visits").alias("shelf"))
+    visitors = tiles(visits, ["rep", "raw", "cell"], "visitors")
+    met = visitors.join(members, key).select("visitors", "members")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,23 +217,26 @@ def _links(reps: DataFrame, index: Index, kind: str, width: int, threshold: floa
                 y = _units(members.field("raw").to_pylist(), kind, width)
                 codes = np.frombuffer(b"".join(members.field("codes").to_pylist()), dtype=np.uint8).reshape(len(y), -1)
                 reach = radius + members.field("off").to_numpy() + LEEWAY
-                copies = members.field("n").to_numpy()
+                copies, cells = members.field("n").to_numpy(), members.field("cell").to_numpy()
+                probes = index.probes(x, visitors.field("cell").to_numpy(), radius)
                 names = {r: k for k, r in enumerate(theirs)}
                 same = np.array([names.get(r, -1) for r in own])
                 number = np.where(same >= 0, same, len(y) + np.arange(len(x)))  # one number for a representative on both sides
                 counts, u, v = np.zeros(len(x), dtype=np.int64), [], []
-                for at in range(0, len(x), 256):
-                    near = index.table_distances(x[at : at + 256], batch.column("cell")[i].as_py(), codes) <= reach
-                    a, b = np.nonzero(near)
-                    a += at
-                    for cut in range(0, len(a), 1 << 15):
-                        p, q = a[cut : cut + (1 << 15)], b[cut : cut + (1 << 15)]
-                        hit = (np.einsum("ij,ij->i", x[p], y[q]) >= threshold) & (same[p] != q)
-                        np.add.at(counts, p[hit], copies[q[hit]])
-                        if hit.any():
-                            one, two = forest(number[p[hit]], q[hit])
-                            u.append(one)
-                            v.append(two)
+                for cell in np.unique(cells):
+                    come, there = np.flatnonzero(probes[:, cell]), np.flatnonzero(cells == cell)
+                    for at in range(0, len(come), 512):
+                        some = come[at : at + 512]
+                        near = index.table_distances(x[some], cell, codes[there]) <= reach[there]
+                        a, b = np.nonzero(near)
+                        for cut in range(0, len(a), 1 << 15):
+                            p, q = some[a[cut : cut + (1 << 15)]], there[b[cut : cut + (1 << 15)]]
+                            hit = (np.einsum("ij,ij->i", x[p], y[q]) >= threshold) & (same[p] != q)
+                            np.add.at(counts, p[hit], copies[q[hit]])
+                            if hit.any():
+                                one, two = forest(number[p[hit]], q[hit])
+                                u.append(one)
+                                v.append(two)
                 if not u:
                     continue
                 node, root = forest(np.concatenate(u), np.concatenate(v))
