@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,15 @@ from pyspark.sql import functions as F
 
 from tessarine.llm.common import in_training, pieces, stored, words
 
-OWN_CLASSES = 4096
+OWN_CLASSES = 2048
 SUFFIXES = 256
 KNOWN_WORDS = 1 << 18
 WIDTH = 32
-EPOCHS = 2
-BATCH = 2048
-NOISE = 128
-RATE = 0.15
+SHARDS = 16
+EPOCHS = 5
+ROUNDS = 8
+NOISE = 20
+RATE = 0.1
 COUNTED = 400_000
 SCORED = 1 << 16
 END = b""
@@ -120,47 +122,40 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 class Model:
-    """Vectors before (`r`) and of a class (`q`), and biases (`b`)."""
+    """Vectors before (`r`) and of a class (`q`), and biases (`b`), each with the squared steps taken so far."""
 
     def __init__(self, frequency: np.ndarray, width: int = WIDTH, seed: int = 11):
         draw = np.random.default_rng(seed)
-        self.noise = frequency / frequency.sum()
-        self.r = (draw.normal(size=(len(frequency), width)) * 0.1).astype(np.float32)
-        self.q = (draw.normal(size=(len(frequency), width)) * 0.1).astype(np.float32)
-        self.b = np.log(self.noise).astype(np.float32)
-        self.steps = None
-
-    def train(self, before: np.ndarray, cls: np.ndarray, draw: np.random.Generator) -> None:
-        """One pass of noise-contrastive estimation over (before, cls) pairs, in batches with Adagrad steps.
-
-        A batch shares NOISE classes drawn by frequency; each pair tells its class from them.
+        noise = (frequency / frequency.sum()).astype(np.float32)
+        self.noise = noise
+        self.r, self.q = (draw.normal(size=(2, len(noise), width)) * 0.1).astype(np.float32)
+        self.b = np.log(noise)
+        self.taken = [np.full_like(x, 1e-6) for x in (self.r, self.q, self.b)]
+
+    def copy(self) -> Model:
+        other = object.__new__(Model)
+        other.noise, other.r, other.q, other.b = self.noise, self.r.copy(), self.q.copy(), self.b.copy()
+        other.taken = [x.copy() for x in self.taken]
+        return other
+
+    def train(self, rows: np.ndarray, counts: np.ndarray, rounds: int) -> None:
+        """Noise-contrastive estimation on pair counts: `counts[i, c]` is how often class c follows class rows[i].
+
+        A true pair is told from NOISE classes drawn by frequency; as each pair stands for all its
+        occurrences, the draws enter with their expected number. Adagrad steps over the whole matrix.
         """
-        if self.steps is None:
-            self.steps = [np.full(len(self.b), 1.0, dtype=np.float32) for _ in range(3)]
-            self.cumulative = np.cumsum(self.noise)
-        log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        for at in range(0, len(cls), BATCH):
-            x, y = before[at : at + BATCH], cls[at : at + BATCH]
-            false = np.minimum(np.searchsorted(self.cumulative, draw.random(NOISE)), len(self.b) - 1)
-            rx, qy, qf = self.r[x], self.q[y], self.q[false]
-            true_error = 1 - _sigmoid((rx * qy).sum(1) + self.b[y] - log_noise[y])
-            false_error = -_sigmoid(rx @ qf.T + self.b[false] - log_noise[false])
-            to_r = true_error[:, None] * qy + false_error @ qf
-            to_q = np.concatenate([true_error[:, None] * rx, false_error.T @ rx])
-            to_b = np.concatenate([true_error, false_error.sum(0)])
-            self._step(0, self.r, x, to_r)
-            rows = np.concatenate([y, false])
-            self._step(1, self.q, rows, to_q)
-            self._step(2, self.b, rows, to_b)
-
-    def _step(self, which: int, table: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        rows, starts = np.unique(rows[order], return_index=True)
-        total = np.add.reduceat(gradient[order], starts, axis=0)
-        squared = total**2 if total.ndim == 1 else (total**2).mean(1)
-        self.steps[which][rows] += squared
-        rate = RATE / np.sqrt(self.steps[which][rows])
-        table[rows] += total * (rate if total.ndim == 1 else rate[:, None])
+        own = np.arange(len(self.b))
+        false = counts.sum(axis=1, keepdims=True) * (NOISE * self.noise)
+        log_noise = np.log(NOISE * self.noise)
+        for _ in range(rounds):
+            r = self.r[rows]
+            chance = 1 / (1 + np.exp(-np.clip(r @ self.q.T + self.b - log_noise, -30, 30)))
+            error = counts - (counts + false) * chance
+            for k, (table, at, step) in enumerate(
+                ((self.r, rows, error @ self.q), (self.q, own, error.T @ r), (self.b, own, error.sum(axis=0)))
+            ):
+                self.taken[k][at] += step**2
+                table[at] += RATE * step / np.sqrt(self.taken[k][at])
 
     def log_normal(self) -> np.ndarray:
         """For each class before, the logarithm of the sum over classes of exp(r.q + b)."""
@@ -177,59 +172,78 @@ class Model:
         return np.log(np.exp(s) @ vocab.unseen)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def classes(text_words: list[bytes], known: dict[bytes, int], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of a text's tokens among the known ones (-1: not there) and their classes; the end comes last."""
-    at = np.fromiter((known.get(w, -1) for w in text_words), dtype=np.int32, count=len(text_words))
+    at = np.fromiter(map(known.get, text_words, repeat(-1)), dtype=np.int32, count=len(text_words))
     cls = vocab.cls[at]
     for i in np.flatnonzero(at < 0):
         cls[i] = vocab.own + suffix(text_words[i])
     return np.append(at, np.int32(0)), np.append(cls, np.int32(0))
 
 
+def pair_counts(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(before, cls, n): how often a class follows another in all texts, combined by task and then by Spark."""
+    shared, size = docs.sparkSession.sparkContext.broadcast(vocab), len(vocab.frequency)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        known, total = vocab.lookup(), np.zeros(size * size, dtype=np.int32)
+        for batch in pieces(batches):
+            for text in batch.column("text").to_pylist():
+                cls = classes(words(text), known, vocab)[1].astype(np.int64)
+                at, n = np.unique(np.append(0, cls[:-1]) * size + cls, return_counts=True)
+                total[at] += n.astype(np.int32)
+        at = np.flatnonzero(total)
+        for cut in range(0, len(at), 1 << 18):
+            some = at[cut : cut + (1 << 18)]
+            arrays = [some // size, some % size, total[some]]
+            kinds = [pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype(k.to_pandas_dtype())) for a, k in zip(arrays, kinds, strict=True)], ["before", "cls", "n"])
+
+    return docs.mapInArrow(count, "before int, cls int, n long").groupBy("before", "cls").agg(F.sum("n").alias("n"))
+
+
+def _learner(start, size: int):
+    def learn(pairs):
+        before, cls, n = (pairs.column(c).to_numpy() for c in ("before", "cls", "n"))
+        rows, at = np.unique(before, return_inverse=True)
+        counts = np.zeros((len(rows), size), dtype=np.float32)
+        counts[at, cls] = n
+        own = start.value.copy()
+        own.train(rows, counts, ROUNDS)
+        values = [own.r, own.taken[0], own.q, own.taken[1], own.b[:, None], own.taken[2][:, None]]
+        values = np.concatenate(values, axis=1).astype(np.float32)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.float32()))
+        every, weight = np.arange(size, dtype=np.int32), np.full(size, float(n.sum()))
+        return pa.table([pa.array(every), pa.array(np.isin(every, rows)), pa.array(weight), lists], ["cls", "own", "pairs", "v"])
+
+    return learn
+
+
 def train(docs: DataFrame, vocab: Vocabulary, epochs: int = EPOCHS) -> Model:
-    """Fit a model on all texts: each task trains on its own, and token-weighted means are the next start.
+    """Fit a model on the pair counts of all texts.
 
-    A task returns one row per class, a few MB whatever its input; Spark adds them up, and the
-    driver receives one row per class.
+    The classes before are dealt to SHARDS tasks, each with a bounded part of the matrix of pairs.
+    In an epoch a task trains its own vectors before, and the other parameters from the common
+    start; their means, weighted by pairs, start the next epoch. Only one row per class and shard
+    comes back.
     """
-    model, context = Model(vocab.frequency), docs.sparkSession.sparkContext
-    size = 2 * model.r.shape[1] + 1
-    for epoch in range(epochs):
-        start = context.broadcast((vocab, model.r, model.q, model.b))
-
-        def learn(batches: Iterator[pa.RecordBatch], start=start, epoch=epoch) -> Iterator[pa.RecordBatch]:
-            vocab, *weights = start.value
-            known, own = vocab.lookup(), Model(vocab.frequency)
-            own.r, own.q, own.b = (w.copy() for w in weights)
-            draw, tokens = np.random.default_rng([epoch, TaskContext.get().partitionId()]), 0
-            for batch in pieces(batches):
-                pairs = [classes(words(t), known, vocab)[1] for t in batch.column("text").to_pylist()]
-                if not pairs:
-                    continue
-                before = np.concatenate([np.append(np.int32(0), c[:-1]) for c in pairs])
-                cls = np.concatenate(pairs)
-                order = draw.permutation(len(cls))
-                own.train(before[order], cls[order], draw)
-                tokens += len(cls)
-            if tokens:
-                values = np.concatenate([own.r, own.q, own.b[:, None]], axis=1).astype(np.float32)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), size).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(values), dtype=np.int32)), pa.array([tokens] * len(values), pa.int64()), lists], ["cls", "tokens", "v"]
-                )
-
-        found = docs.mapInArrow(learn, "cls int, tokens long, v array<float>")
-        sums = [F.sum(F.col("tokens") * F.col("v")[k]).alias(f"v{k}") for k in range(size)]
-        mean = found.groupBy("cls").agg(F.sum("tokens").alias("tokens"), *sums).toArrow().sort_by("cls")
-        if mean.num_rows:
-            weight = mean.column("tokens").to_numpy()
-            values = np.stack([mean.column(f"v{k}").to_numpy() / weight for k in range(size)], axis=1).astype(np.float32)
-            width = model.r.shape[1]
-            model.r, model.q, model.b = values[:, :width], values[:, width : 2 * width], values[:, -1]
+    model, context, size = Model(vocab.frequency), docs.sparkSession.sparkContext, len(vocab.frequency)
+    pairs = pair_counts(docs, vocab).withColumn("shard", F.pmod(F.hash("before"), F.lit(SHARDS)))
+    pairs = stored(pairs, "lm-pairs")
+    for _ in range(epochs):
+        learn = _learner(context.broadcast(model), size)
+        found = pairs.groupBy("shard").applyInArrow(learn, "cls int, own boolean, pairs double, v array<float>").toArrow()
+        if found.num_rows:
+            cls, own = found.column("cls").to_numpy(), found.column("own").to_numpy()
+            weight, width = found.column("pairs").to_numpy(), model.r.shape[1]
+            values = found.column("v").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+            model.r[cls[own]], model.taken[0][cls[own]] = values[own, :width], values[own, width : 2 * width]
+            rest, total = np.zeros((size, values.shape[1] - 2 * width)), np.bincount(cls, weights=weight, minlength=size)
+            np.add.at(rest, cls, values[:, 2 * width :] * weight[:, None])
+            rest = (rest / total[:, None]).astype(np.float32)
+            model.q, model.taken[1] = rest[:, :width].copy(), rest[:, width : 2 * width].copy()
+            model.b, model.taken[2] = rest[:, -2].copy(), rest[:, -1].copy()
     return model
 
 
