@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -23,7 +25,7 @@ PRE_TOKEN = (
 UNKNOWN = r"[^\t-\r -~\xa0-ɏ]"
 #: Where cutting a text before each space would cut a run of spaces apart.
 RUN_OF_SPACES = rf"[{SPACES}] (?:[{SPACES}]|\Z)"
-CACHED = 400_000
+CACHED = 600_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -62,6 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.space = self.letters[0x20]
         self.pre_tokens = re.compile(PRE_TOKEN).findall
         plain = about.get("pre_tokenizer") == {
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True,
@@ -74,8 +77,14 @@ class Encoder:
         self.by_chunk = _Cache(self._chunk)
 
     def _token(self, token: str) -> bytes:
-        shown = token.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        if token.isascii() and token[1:].isalpha():
+            shown = self.space + token[1:] if token[0] == " " else token
+        else:
+            shown = token.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.by_token.__getitem__, self.pre_tokens(chunk)))
