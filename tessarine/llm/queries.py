@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessarine.llm import counts, decontaminate, embedding, language, lm, mixing, simhash, token_files
+from tessarine.llm import counts, decontaminate, embedding, language, lines, lm, mixing, simhash, token_files
 from tessarine.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +154,30 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, table(spark, sf, "benchmark"))
+
+
+LINES_SQL = """
+WITH every AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+full_lines AS (
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line,
+    row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS s
+  FROM every WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
+windows AS (
+  SELECT a.doc_id, a.s, a.line AS one, b.line AS two FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.s = a.s + 1),
+later AS (
+  SELECT doc_id, s FROM (
+    SELECT *, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, s) AS turn FROM windows) WHERE turn > 1),
+gone AS (SELECT DISTINCT doc_id, s + k AS s FROM later, (VALUES (0), (1)) AS v(k)),
+gone_at AS (SELECT f.doc_id, f.pos FROM full_lines f JOIN gone g ON f.doc_id = g.doc_id AND f.s = g.s)
+SELECT e.doc_id, (SELECT count(*) FROM full_lines f WHERE f.doc_id = e.doc_id)::INTEGER AS lines,
+  count(g.pos)::INTEGER AS deleted, md5(coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY e.pos), '')) AS text_md5
+FROM every e LEFT JOIN gone_at g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id
+"""
+
+
+@query("op2_lines", LINES_SQL)
+def op2_lines(spark: SparkSession, sf: str) -> DataFrame:
+    cut = lines.drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "lines", "deleted", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
