@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessarine.llm import counts, decontaminate, embedding, language, lines, lm, mixing, simhash, token_files
+from tessarine.llm import counts, decontaminate, embedding, language, lines, lm, mixing, quality, simhash, token_files
 from tessarine.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,8 @@ FROM every e LEFT JOIN gone_at g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP
 def op2_lines(spark: SparkSession, sf: str) -> DataFrame:
     cut = lines.drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "lines", "deleted", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf, "documents").select("doc_id", "text"))
