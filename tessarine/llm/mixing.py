@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessarine.llm.common import WORD, row_key, stored, word_count
+from tessarine.llm.common import WORD, once, row_key, stored, word_count
 
 BLOCK_WORDS = 256
 SHARD_DOCS = 384
@@ -161,7 +161,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     rows = rows.withColumn("__turn", F.row_number().over(turn)).join(plan, ["__row", "__turn"])
     parts = F.regexp_extract_all("text", F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice("__parts", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")
-    rows = rows.withColumn("__parts", F.when(F.size("__spans") > 0, parts))
+    rows = once(rows, "__parts", F.when(F.size("__spans") > 0, parts))
     texts = F.concat(
         F.array_repeat("text", F.col("__passes").cast("int")),
         F.when(F.size("__spans") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")),
