@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessarine.llm.common import WORD, once, row_key, stored, word_count
 
-BLOCK_WORDS = 256
+BLOCK_WORDS = 64
 SHARD_DOCS = 384
 MOST_SHARDS = 65_536
 

@@ -63,10 +63,10 @@ levels AS (
     / sum(weight) OVER (ORDER BY stop / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
 targets AS (
   SELECT *, CASE WHEN ratio <= level THEN stop ELSE weight * (SELECT arg_min(level, ratio) FROM levels WHERE ratio > level) END AS target FROM levels),
-seats AS (SELECT *, round(sum(target) OVER () / 256)::BIGINT AS seats FROM targets),
+seats AS (SELECT *, round(sum(target) OVER () / 64)::BIGINT AS seats FROM targets),
 quotients AS (
   SELECT source, target / (2 * k + 1) AS quotient, k, seats
-  FROM seats, range((SELECT max(seats) FROM seats)) AS r(k) WHERE k <= target / 256 + 30 AND target > 0),
+  FROM seats, range((SELECT max(seats) FROM seats)) AS r(k) WHERE k <= target / 64 + 30 AND target > 0),
 quotas AS (
   SELECT source, count(*) AS quota FROM (
     SELECT *, row_number() OVER (ORDER BY quotient DESC, source IS NULL, source, k) AS turn FROM quotients) WHERE turn <= seats GROUP BY source),
@@ -88,8 +88,8 @@ shard_won AS (
     SELECT q.*, row_number() OVER (PARTITION BY q.source ORDER BY quotient DESC, shard, k) AS turn, given
     FROM shard_quotients q JOIN shard_open o ON q.source IS NOT DISTINCT FROM o.source) WHERE turn <= quota - given GROUP BY source, shard),
 shard_quotas AS (
-  SELECT s.*, ceil(shard_size / 256)::BIGINT AS blocks,
-    least(low + coalesce(won, 0), 2 * ceil(shard_size / 256)::BIGINT)::BIGINT AS given
+  SELECT s.*, ceil(shard_size / 64)::BIGINT AS blocks,
+    least(low + coalesce(won, 0), 2 * ceil(shard_size / 64)::BIGINT)::BIGINT AS given
   FROM shards s JOIN shard_low l ON s.source IS NOT DISTINCT FROM l.source AND s.shard = l.shard
   LEFT JOIN shard_won w ON s.source IS NOT DISTINCT FROM w.source AND s.shard = w.shard),
 laid AS (
@@ -99,9 +99,9 @@ spread AS (
     ('0x' || substr(md5('7:' || coalesce(l.source, '') || ':' || l.shard), 1, 8))::BIGINT % blocks AS shift
   FROM laid l LEFT JOIN shard_quotas q ON l.source IS NOT DISTINCT FROM q.source AND l.shard = q.shard)
 SELECT doc_id, size, source_size, target, (coalesce(passes, 0) * size + coalesce(list_sum(list_transform(
-    list_filter(range(a // 256, CASE WHEN size > 0 THEN (b - 1) // 256 + 1 ELSE a // 256 END),
+    list_filter(range(a // 64, CASE WHEN size > 0 THEN (b - 1) // 64 + 1 ELSE a // 64 END),
       lambda j: ((j + 1) * once + shift) // blocks > (j * once + shift) // blocks),
-    lambda j: least((j + 1) * 256, b) - greatest(j * 256, a))), 0))::BIGINT AS taken FROM spread
+    lambda j: least((j + 1) * 64, b) - greatest(j * 64, a))), 0))::BIGINT AS taken FROM spread
 """
 
 
