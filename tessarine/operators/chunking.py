@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessarine import fixed_values as V
 from tessarine.functions import text as T
 from tessarine.functions import vectors
 
+BLOCK_CHARACTERS = 4096
+
 _SPAN = "array<struct<first:int,last:int,chars:int,width:int>>"
 
 
@@ -42,12 +44,17 @@ def _steps(length: Column, size: int, overlap: int) -> Column:
 
 
 def naive_spans(text: Column, size: int, overlap: int) -> Column:
-    """Array of (start, end) character spans of the recursive-character walk."""
-    measured = F.struct(text.alias("text"), F.char_length(text).alias("length"))
-    return vectors.let(measured, lambda d: _walk(d["text"], d["length"], size, overlap))
+    """Array of (start, end) character spans of the recursive-character walk.
+
+    The text is cut into blocks once, so a step reads two blocks and not the text from its start.
+    """
+    block = max(BLOCK_CHARACTERS, size)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    measured = F.struct(blocks.alias("blocks"), F.char_length(text).alias("length"))
+    return vectors.let(measured, lambda d: _walk(d["blocks"], d["length"], block, size, overlap))
 
 
-def _walk(text: Column, length: Column, size: int, overlap: int) -> Column:
+def _walk(blocks: Column, length: Column, block: int, size: int, overlap: int) -> Column:
     spans_type = "array<struct<start:int,stop:int>>"
     first = F.struct(F.lit(0).alias("start"), F.array().cast(spans_type).alias("spans"))
 
@@ -55,7 +62,9 @@ def _walk(text: Column, length: Column, size: int, overlap: int) -> Column:
         start = state["start"]
         hard = F.least(start + size, length)
         low = start + size // 2
-        found = last_boundary(F.substring(text, low + 1, hard - low))
+        number = F.floor(low / block).cast("int")
+        near = F.concat(F.get(blocks, number), F.coalesce(F.get(blocks, number + 1), F.lit("")))
+        found = last_boundary(F.substring(near, low - number * block + 1, hard - low))
 
         def cut(b: Column) -> Column:
             return F.when((b["hard"] < length) & (b["found"] > 0), low + b["found"]).otherwise(b["hard"])
@@ -82,32 +91,57 @@ def naive_chunks(
 ) -> DataFrame:
     """(document_id, text) to (document_id, chunk_index, chunk_id, start_char, end_char, text)."""
     check_sizes(size, overlap)
-    raw = F.substring("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))
-    spans = documents.select(
-        "document_id", "text", F.posexplode(naive_spans(F.col("text"), size, overlap)).alias("i", "s")
-    ).select("document_id", "i", T.trimmed_offsets(raw, F.col("s.start")).alias("t"))
-    return number_chunks(spans, "naive")
-
-
-def number_chunks(spans: DataFrame, strategy: str, order: tuple[str, ...] = ("i",)) -> DataFrame:
-    """Consecutive index per document after blank spans are dropped."""
-    by_document = Window.partitionBy("document_id").orderBy(*order)
-    extra = [c for c in spans.columns if c not in ("document_id", "i", "t")]
-    return (
-        spans.filter(F.col("t.text") != "")
-        .withColumn("chunk_index", F.row_number().over(by_document) - 1)
-        .select(
-            "document_id",
-            "chunk_index",
-            F.concat_ws(":", "document_id", F.lit(strategy), "chunk_index").alias("chunk_id"),
-            F.lit(strategy).alias("strategy"),
-            "t.start_char",
-            "t.end_char",
-            "t.text",
-            *extra,
-        )
+
+    def trimmed(span: Column) -> Column:
+        raw = F.substring("text", span["start"] + 1, span["stop"] - span["start"])
+        return F.struct(T.trimmed_offsets(raw, span["start"]).alias("t"))
+
+    found = F.transform(naive_spans(F.col("text"), size, overlap), trimmed)
+    return number_chunks(documents.select("document_id", found.alias("found")), "naive")
+
+
+def number_chunks(spans: DataFrame, strategy: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of each row's `found` spans, numbered inside the row after blank ones are dropped: no shuffle."""
+    full = F.filter("found", lambda s: s["t"]["text"] != "")
+    return spans.select("document_id", F.posexplode(full).alias("chunk_index", "s")).select(
+        "document_id",
+        "chunk_index",
+        F.concat_ws(":", "document_id", F.lit(strategy), "chunk_index").alias("chunk_id"),
+        F.lit(strategy).alias("strategy"),
+        "s.t.start_char",
+        "s.t.end_char",
+        "s.t.text",
+        *[f"s.{c}" for c in extra],
+    )
+
+
+def _windows(text: Column, window_tokens: int) -> Column:
+    """Array of a text's token windows with the characters and tokens before each."""
+    token = r"[^\s\x1c-\x1f]"
+    pieces = F.regexp_extract_all(
+        text, F.lit(f"(?U)(?:{T.WS}*+{token}++){{1,{window_tokens}}}+"), F.lit(0)
+    )
+    kind = "array<struct<window_text:string,window_tokens:int,char_offset:bigint,token_offset:bigint>>"
+    start = F.struct(
+        F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("tokens"), F.array().cast(kind).alias("out")
     )
 
+    def add(state: Column, piece: Column) -> Column:
+        def grow(n: Column) -> Column:
+            window = F.struct(
+                piece.alias("window_text"), n.alias("window_tokens"),
+                state["chars"].alias("char_offset"), state["tokens"].alias("token_offset"),
+            )
+            return F.struct(
+                (state["chars"] + F.char_length(piece)).alias("chars"),
+                (state["tokens"] + n).alias("tokens"),
+                F.concat(state["out"], F.array(window).cast(kind)).alias("out"),
+            )
+
+        return vectors.let(T.word_count(piece).cast("int"), grow)
+
+    return F.aggregate(pieces, start, add, lambda state: state["out"])
+
 
 def document_windows(documents: DataFrame, window_tokens: int = V.WINDOW_TOKENS) -> DataFrame:
     """Cut each document's token stream into windows; spans never cross a window.
@@ -115,19 +149,8 @@ def document_windows(documents: DataFrame, window_tokens: int = V.WINDOW_TOKENS)
     A token is a run of non-space characters.  `window_text` keeps its leading space,
     so character offsets add up.
     """
-    token = r"[^\s\x1c-\x1f]"
-    pieces = F.regexp_extract_all(
-        "text", F.lit(f"(?U)(?:{T.WS}*+{token}++){{1,{window_tokens}}}+"), F.lit(0)
-    )
-    before = Window.partitionBy("document_id").orderBy("window_index").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return (
-        documents.select("document_id", F.posexplode(pieces).alias("window_index", "window_text"))
-        .withColumn("window_tokens", T.word_count(F.col("window_text")))
-        .withColumn("char_offset", F.coalesce(F.sum(F.char_length("window_text")).over(before), F.lit(0)))
-        .withColumn("token_offset", F.coalesce(F.sum("window_tokens").over(before), F.lit(0)))
-    )
+    windows = F.posexplode(_windows(F.col("text"), window_tokens)).alias("window_index", "w")
+    return documents.select("document_id", windows).select("document_id", "window_index", "w.*")
 
 
 def token_spans(window: Column, tokens: Column, target: int, overlap: int) -> Column:
@@ -209,25 +232,22 @@ def token_chunks(
     check_sizes(target, overlap)
     if target > window_tokens:
         raise ValueError("a chunk cannot exceed its document window")
-    windows = document_windows(documents, window_tokens)
-    spans = windows.select(
-        "document_id", "window_index", "window_text", "char_offset", "token_offset",
-        F.posexplode(
-            token_spans(F.col("window_text"), F.col("window_tokens"), target, overlap)
-        ).alias("i", "s"),
-    )
-    raw = F.substring("window_text", F.col("s.chars") + 1, F.col("s.width"))
-    start = (F.col("char_offset") + F.col("s.chars")).cast("int")
-    numbered = number_chunks(
-        spans.select(
-            "document_id", "window_index", "i",
-            T.trimmed_offsets(raw, start).alias("t"),
-            (F.col("token_offset") + F.col("s.first")).cast("int").alias("first_token"),
-            (F.col("token_offset") + F.col("s.last")).cast("int").alias("last_token"),
-        ),
-        "late",
-        ("window_index", "i"),
-    )
+
+    def cut(window: Column) -> Column:
+        def trimmed(span: Column) -> Column:
+            raw = F.substring(window["window_text"], span["chars"] + 1, span["width"])
+            start = (window["char_offset"] + span["chars"]).cast("int")
+            return F.struct(
+                T.trimmed_offsets(raw, start).alias("t"),
+                (window["token_offset"] + span["first"]).cast("int").alias("first_token"),
+                (window["token_offset"] + span["last"]).cast("int").alias("last_token"),
+            )
+
+        return F.transform(token_spans(window["window_text"], window["window_tokens"], target, overlap), trimmed)
+
+    found = F.flatten(F.transform(_windows(F.col("text"), window_tokens), cut))
+    spans = documents.select("document_id", found.alias("found"))
+    numbered = number_chunks(spans, "late", ("first_token", "last_token"))
     return numbered.withColumn("token_count", F.col("last_token") - F.col("first_token"))
 
 
