@@ -180,20 +180,24 @@ def artifact_sizes(spark, sf):
     return corpus.artifact_sizes(spark, path)
 
 
-@query(
-    "explode_passages",
-    f"""SELECT language || ':' || query_id || ':' || (i - 1) AS id, {strip("t")} AS text, i - 1 AS passage_index, coalesce(s, 0) <> 0 AS is_selected
-        FROM (SELECT *, unnest(range(1, 1 + len(translated))) AS i, unnest(translated) AS t, selected[i] AS s FROM fx_records WHERE query_id IS NOT NULL) WHERE {strip("t")} <> ''""",
-)
+CTES["fx_identified"] = """
+SELECT *, language || ':' || qid || CASE WHEN copy > 1 THEN '#' || copy ELSE '' END AS base FROM (
+  SELECT *, row_number() OVER (PARTITION BY language, qid ORDER BY record_no) AS copy FROM (
+    SELECT *, coalesce(query_id, (row_number() OVER (PARTITION BY language ORDER BY record_no) - 1)::VARCHAR) AS qid FROM fx_records))"""
+CTES["fx_passages"] = f"""
+SELECT base || ':' || (i - 1) AS id, {strip("t")} AS text, i - 1 AS passage_index, coalesce(s, 0) <> 0 AS is_selected, language
+FROM (SELECT *, unnest(range(1, 1 + len(translated))) AS i, unnest(translated) AS t, selected[i] AS s FROM fx_identified) WHERE {strip("t")} <> ''"""
+
+
+@query("explode_passages", "SELECT id, text, passage_index, is_selected FROM fx_passages")
 def explode_passages(spark, sf):
-    out = corpus.explode_passages(records(spark, sf).filter("query_id is not null"))
+    out = corpus.explode_passages(records(spark, sf), "record_no")
     return out.select("id", "text", F.col("passage_index").cast("long").alias("passage_index"), "is_selected")
 
 
 @query(
     "project_queries",
-    f"""SELECT language || ':' || qid AS id, qid AS query_id, {strip("query")} AS query, {strip("coalesce(eng_query, '')")} AS english_query FROM (
-        SELECT *, coalesce(query_id, (row_number() OVER (PARTITION BY language ORDER BY record_no) - 1)::VARCHAR) AS qid FROM fx_records) WHERE {strip("query")} <> ''""",
+    f"SELECT base AS id, qid AS query_id, {strip('query')} AS query, {strip("coalesce(eng_query, '')")} AS english_query FROM fx_identified WHERE {strip('query')} <> ''",
 )
 def project_queries(spark, sf):
     return corpus.project_queries(records(spark, sf), "record_no").drop("language")
@@ -485,17 +489,31 @@ for _name, _body in list(CTES.items()):
         CTES[_name + "_whole"] = _body.replace("500", "8190").replace("499", "8189").replace("fx_twalk", "fx_twalk_whole").replace("fx_tspans", "fx_tspans_whole")
 
 
-@query("build_index")
+# Passages in place of documents, under the same token walk with whole windows.
+CTES["fx_index_docs"] = "SELECT id AS doc_id, text, language FROM fx_passages"
+for _name in ("fx_token_ends", "fx_twalk_whole", "fx_tspans_whole", "fx_late_whole"):
+    _body = CTES[_name].replace("FROM documents", "FROM fx_index_docs")
+    for _other in ("fx_token_ends", "fx_twalk_whole", "fx_tspans_whole"):
+        _body = _body.replace(_other, _other.replace("fx_", "fx_index_"))
+    CTES[_name.replace("fx_", "fx_index_")] = _body
+
+
+@query(
+    "build_index",
+    """SELECT l.doc_id || ':late:' || chunk_index AS chunk_id, d.language, last_token - first_token AS token_count, 64 AS full_dim, 16 AS prefix_dim,
+        first_token, last_token, l.text FROM fx_index_late_whole l JOIN fx_index_docs d ON d.doc_id = l.doc_id""",
+)
 def build_index_rows(spark, sf):
-    """Documents cut, pooled and normalised; token vectors are dealt from the embeddings."""
-    r = records(spark, sf).withColumn("query_id", F.col("record_no").cast("string"))
+    """Every passage of every record cut, pooled and normalised; token vectors are dealt from the embeddings."""
+    r = records(spark, sf)
     bank = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("bank_id"), F.col("embedding").alias("vector"))
     n = bank.count()
-    lines = corpus.explode_passages(r).select(F.col("id").alias("document_id"), "text")
+    lines = corpus.explode_passages(r, "record_no").select(F.col("id").alias("document_id"), "text")
     words = lines.select("document_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("pos", "word"))
     tokens = words.withColumn("bank_id", F.pmod(F.xxhash64("word"), F.lit(n))).join(bank, "bank_id").drop("bank_id", "word")
-    index = build_index(r, tokens, records_per_language=40, max_documents=300, prefix_dim=16, full_dim=64)
-    return index.select("chunk_id", "language", "token_count", F.size("full").alias("full_dim"), F.size("prefix").alias("prefix_dim"))
+    index = build_index(r, tokens, prefix_dim=16, full_dim=64)
+    longs = [F.col(c).cast("long").alias(c) for c in ("token_count", "first_token", "last_token")]
+    return index.select("chunk_id", "language", "text", F.size("full").alias("full_dim"), F.size("prefix").alias("prefix_dim"), *longs)
 
 
 # Profile --------------------------------------------------------------------------

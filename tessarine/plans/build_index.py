@@ -13,24 +13,24 @@ def build_index(
     records: DataFrame,
     token_vectors: DataFrame,
     *,
-    records_per_language: int,
-    max_documents: int,
     prefix_dim: int,
     full_dim: int,
+    records_per_language: int | None = None,
+    max_documents: int | None = None,
     target: int = 192,
     overlap: int = 32,
 ) -> DataFrame:
-    """Sample, explode, cap, cut, pool, normalise.
+    """Explode, cut, pool, normalise: all records, or a sample and a cap of documents where asked for.
 
     `token_vectors`: document_id, pos, vector.  They come from an encoder run (a table
     or a user-supplied Arrow UDF); documents without vectors give no chunks.
     """
-    sample = corpus.head_sample(records, records_per_language, "language", "record_no")
-    documents = corpus.explode_passages(sample).join(
-        sample.select("language", F.col("query_id").cast("string").alias("query_id"), "record_no"), ["language", "query_id"]
-    )
-    capped = corpus.document_cap(documents, max_documents, ["language", "record_no", "passage_index"])
-    sources = capped.select(F.col("id").alias("document_id"), "text", "language", "query_id", "passage_index", "is_selected")
+    if records_per_language is not None:
+        records = corpus.head_sample(records, records_per_language, "language", "record_no")
+    documents = corpus.explode_passages(records, "record_no")
+    if max_documents is not None:
+        documents = corpus.document_cap(documents, max_documents, ["language", "record_no", "passage_index"])
+    sources = documents.select(F.col("id").alias("document_id"), "text", "language", "query_id", "passage_index", "is_selected")
     chunks = chunking.token_chunks(sources, target, overlap)
     pooled = chunking.late_pool(token_vectors, chunks, "chunk_index").drop("token_count")
     full = chunks.join(pooled, ["document_id", "chunk_index"]).join(

@@ -109,30 +109,46 @@ def truthy(label: Column) -> Column:
     )
 
 
-def explode_passages(records: DataFrame) -> DataFrame:
-    """Records to documents: non-blank passages under their original index."""
-    texts = normalize_passages(records).select(
-        "language", F.col("query_id").cast("string").alias("query_id"), "selected",
+def identified(records: DataFrame, order: str) -> DataFrame:
+    """Records with a `query_id` and a `base` that no other record of the language has.
+
+    A record without id takes its number within the language; the second and later records
+    of one id, in record order, add `#2`, `#3` and so on. Only ids are numbered; the records join
+    once, on language and record number.
+    """
+    ids = numbered(records.select("language", order, F.col("query_id").cast("string").alias("query_id")), ["language"], order, "_number")
+    ids = ids.withColumn("query_id", F.coalesce("query_id", F.col("_number").cast("string"))).drop("_number")
+    ids = numbered(ids, ["language", "query_id"], order, "_copy")
+    again = F.when(F.col("_copy") > 0, F.concat(F.lit("#"), (F.col("_copy") + 1).cast("string"))).otherwise("")
+    base = F.concat(F.coalesce("language", F.lit("")), F.lit(":"), "query_id", again)
+    ids = ids.select(F.col("language").alias("_language"), F.col(order).alias("_order"), "query_id", base.alias("base"))
+    same = F.col("language").eqNullSafe(F.col("_language")) & (F.col(order) == F.col("_order"))
+    return records.drop("query_id").join(ids, same).drop("_language", "_order")
+
+
+def explode_passages(records: DataFrame, order: str) -> DataFrame:
+    """Records to documents: non-blank passages under their original index, ids unique (see `identified`)."""
+    texts = normalize_passages(identified(records, order)).select(
+        "base", "language", "query_id", order, "selected",
         F.posexplode("translated").alias("passage_index", "raw"),
     )
     label = F.try_element_at("selected", F.col("passage_index") + 1)
     return texts.select(
-        F.concat_ws(":", "language", "query_id", "passage_index").alias("id"),
+        F.concat_ws(":", "base", "passage_index").alias("id"),
         T.strip(F.col("raw")).alias("text"),
         "language",
         "query_id",
+        order,
         "passage_index",
         truthy(label).alias("is_selected"),
     ).filter("text <> ''")
 
 
 def project_queries(records: DataFrame, order: str) -> DataFrame:
-    """Records to queries; a record without id takes its number within the language."""
-    placed = numbered(records, ["language"], order, "_number")
-    query_id = F.coalesce(F.col("query_id").cast("string"), F.col("_number").cast("string"))
-    return placed.select(
-        F.concat_ws(":", "language", query_id).alias("id"),
-        query_id.alias("query_id"),
+    """Records to queries under the ids of their documents."""
+    return identified(records, order).select(
+        F.col("base").alias("id"),
+        "query_id",
         "language",
         T.strip(F.coalesce("query", F.lit(""))).alias("query"),
         T.strip(F.coalesce("Eng_Query", F.lit(""))).alias("english_query"),
