@@ -570,13 +570,40 @@ def validate_requests(spark, sf):
     return R.validate_requests(rows).select("doc_id", "reject_reason")
 
 
+_BODIES = (
+    ("{}", "query_missing"),
+    ('{"query":"TEXT"}', None),
+    ('{"query":"TEXT","candidate_k":"12","final_k":7.0,"language_code":null}', None),
+    ('{"query":"TEXT","candidate_k":"abc"}', "candidate_k_type"),
+    ('{"query":"TEXT","candidate_k":5.5}', "candidate_k_type"),
+    ('{"query":"TEXT","final_k":null}', "final_k_type"),
+    ('{"query":12}', "query_type"),
+    ('{"query":"TEXT","language_code":5}', "language_type"),
+    ('{"query":"TEXT","other":1}', "unknown_field"),
+    ('["TEXT"]', "not_an_object"),
+    ('{"query":"TEXT"', "not_an_object"),
+    ('{"query":"TEXT","candidate_k":3,"final_k":4}', "final_k_above_candidate_k"),
+    ('{"query":"TEXT","candidate_k":0}', "candidate_k_range"),
+)
+
+
+def _cases(of: str) -> str:
+    return "CASE " + " ".join(f"WHEN {of} % {len(_BODIES)} = {i} THEN {'NULL' if r is None else repr(r)}" for i, (_, r) in enumerate(_BODIES)) + " END"
+
+
 @query(
     "parse_requests",
-    "SELECT event_id, CASE WHEN k IS NOT NULL THEN 'unknown_field' END AS reject_reason FROM (SELECT event_id, json_extract(props, '$.k') AS k FROM events)",
+    f"""SELECT doc_id, {_cases("doc_id")} AS reject_reason,
+        CASE doc_id % {len(_BODIES)} WHEN 1 THEN 50 WHEN 2 THEN 12 END AS candidate_k, CASE doc_id % {len(_BODIES)} WHEN 1 THEN 5 WHEN 2 THEN 7 END AS final_k FROM documents""",
 )
 def parse_requests(spark, sf):
-    """Event bodies are JSON objects with a foreign field: strict parsing turns them away."""
-    return R.parse_requests(X.table(spark, sf, "events"), "props").select("event_id", "reject_reason")
+    """Bodies of every kind, right and wrong, around the source of each document."""
+    kind = F.col("doc_id") % len(_BODIES)
+    body = F.get(F.array(*[F.lit(b) for b, _ in _BODIES]), kind.cast("int"))
+    raw = X.table(spark, sf, "documents").select("doc_id", F.replace(body, F.lit("TEXT"), F.col("source")).alias("body"))
+    parsed = R.parse_requests(raw)
+    good = F.col("reject_reason").isNull()
+    return parsed.select("doc_id", "reject_reason", F.when(good, F.col("candidate_k")).alias("candidate_k"), F.when(good, F.col("final_k")).alias("final_k"))
 
 
 @query("supported_languages", "SELECT DISTINCT lower(trim(language)) AS language FROM fx_chunks WHERE trim(language) <> ''")

@@ -649,6 +649,9 @@ def language_mix(spark, sf):
     return P.language_mix(records(spark, sf), sizes).withColumn("byte_share", r6("byte_share"))
 
 
-@query("observed_schema", "SELECT DISTINCT event_type, 'OBJECT<k: ' || json_type(props, '$.k').replace('UBIGINT', 'BIGINT') || '>' AS observed FROM events")
+@query("observed_schema", "SELECT DISTINCT event_type, 'OBJECT<k: ' || json_type(props, '$.k').replace('UBIGINT', 'BIGINT') || '>' AS observed, count(*) AS malformed FROM events GROUP BY ALL")
 def observed_schema(spark, sf):
-    return P.observed_schema(X.table(spark, sf, "events"), "props", ["event_type"])
+    """Every event once as it is and once with its body cut short."""
+    events = X.table(spark, sf, "events").select("event_type", "props")
+    broken = events.select("event_type", F.concat(F.lit("{"), "props").alias("props"))
+    return P.observed_schema(events.unionAll(broken), "props", ["event_type"])

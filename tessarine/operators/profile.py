@@ -214,7 +214,9 @@ def language_mix(records: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def observed_schema(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
-    """Merged schema of a JSON column."""
-    return df.groupBy(*(keys or [])).agg(
-        F.schema_of_variant_agg(F.parse_json(column)).alias("observed")
+    """Merged schema of a JSON column; rows that are not JSON are counted, not fatal."""
+    parsed = df.withColumn("_parsed", F.try_parse_json(column))
+    bad = F.col(column).isNotNull() & F.col("_parsed").isNull()
+    return parsed.groupBy(*(keys or [])).agg(
+        F.schema_of_variant_agg("_parsed").alias("observed"), F.sum(bad.cast("long")).alias("malformed")
     )

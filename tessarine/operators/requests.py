@@ -30,23 +30,53 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
 
 def parse_requests(raw: DataFrame, column: str = "body") -> DataFrame:
-    """JSON request bodies to typed rows; unknown fields and bad JSON are rejected."""
-    schema = "query string, language_code string, candidate_k int, final_k int"
+    """JSON request bodies to typed rows; bad JSON, unknown fields and wrong types are rejected.
+
+    Types are looked at before any cast: a query is a string, a language code a string or null, and
+    the two counts are whole numbers (also written as such in a string). Only an absent count has a default.
+    """
     keys = F.json_object_keys(column)
     unknown = F.array_except(keys, F.array(*[F.lit(f) for f in REQUEST_FIELDS]))
-    parsed = raw.withColumn("_r", F.from_json(column, schema)).select(
+    body = F.try_parse_json(column)
+
+    def kind(field: str) -> Column:
+        """SQL type of a field's value: VOID for null; null where absent."""
+        return F.schema_of_variant(F.try_variant_get(body, f"$.{field}", "variant"))
+
+    def has(field: str) -> Column:
+        return F.coalesce(F.array_contains(keys, field), F.lit(False))
+
+    def read(field: str, as_type: str) -> Column:
+        return F.try_variant_get(body, f"$.{field}", as_type)
+
+    def whole(field: str) -> Column:
+        number, text = read(field, "double"), read(field, "string")
+        written = (kind(field) == "STRING") & text.rlike(r"^\s*[+-]?[0-9]+(\.0*)?\s*$")
+        return F.coalesce(((kind(field) != "STRING") & (number == F.floor(number))) | written, F.lit(False))
+
+    def count(field: str, default: int) -> Column:
+        return F.when(~has(field), default).when(whole(field), F.trim(read(field, "string")).try_cast("double").try_cast("int"))
+
+    parsed = raw.select(
         "*",
-        "_r.query",
-        "_r.language_code",
-        F.coalesce("_r.candidate_k", F.lit(50)).alias("candidate_k"),
-        F.coalesce("_r.final_k", F.lit(5)).alias("final_k"),
+        F.when(kind("query") == "STRING", read("query", "string")).alias("query"),
+        F.when(kind("language_code") == "STRING", read("language_code", "string")).alias("language_code"),
+        count("candidate_k", 50).alias("candidate_k"),
+        count("final_k", 5).alias("final_k"),
+        F.coalesce(~has("query") | (kind("query") == "STRING"), F.lit(False)).alias("_query"),
+        F.coalesce(~has("language_code") | kind("language_code").isin("STRING", "VOID"), F.lit(False)).alias("_language"),
+        *[(~has(f) | whole(f)).alias(f"_{f}") for f in ("candidate_k", "final_k")],
     )
     return parsed.withColumn(
         "reject_reason",
-        F.when(keys.isNull(), "not_an_object")
+        F.when(keys.isNull() | body.isNull(), "not_an_object")
         .when(F.size(unknown) > 0, "unknown_field")
+        .when(~F.col("_query"), "query_type")
+        .when(~F.col("_language"), "language_type")
+        .when(~F.col("_candidate_k"), "candidate_k_type")
+        .when(~F.col("_final_k"), "final_k_type")
         .otherwise(request_problem()),
-    ).drop("_r")
+    ).drop("_query", "_language", "_candidate_k", "_final_k")
 
 
 def retrieval_depth() -> Column:

@@ -38,8 +38,9 @@ def clean_queries(raw: DataFrame) -> DataFrame:
 
 
 def require_rows(df: DataFrame, minimum: int = V.MIN_WORKLOAD) -> DataFrame:
-    """Fail before a benchmark that has too few questions."""
-    found = df.limit(minimum).count()
+    """Fail before a benchmark that has too few valid questions."""
+    valid = df.where("reject_reason is null") if "reject_reason" in df.columns else df
+    found = valid.limit(minimum).count()
     if found < minimum:
         raise ValueError(f"at least {minimum} queries are required, found {found}")
     return df
@@ -55,21 +56,36 @@ def _strings(field: str) -> Column:
     return F.when(raw.isNotNull() & ~F.is_variant_null(raw), F.coalesce(listed, F.array().cast("array<string>")))
 
 
+def _is_strings(kind: Column, items: Column) -> Column:
+    """Whether a value is null, a string or a list of strings only; true where it is absent."""
+    listed = F.coalesce(F.forall(items, lambda x: F.schema_of_variant(x) == "STRING"), F.lit(False))
+    return kind.isNull() | kind.isin("STRING", "VOID") | (kind.startswith("ARRAY") & listed)
+
+
 def scan_eval_manifest(raw: DataFrame, column: str = "body") -> DataFrame:
     """JSON evaluation samples to typed rows with `reject_reason`."""
     unknown = F.array_except(
         F.json_object_keys(column), F.array(*[F.lit(f) for f in V.EVAL_SAMPLE_FIELDS])
     )
     base = raw.withColumn("entry", F.try_parse_json(column)).withColumn("_unknown", unknown)
-    text = lambda f: F.try_variant_get("entry", f"$.{f}", "string")
+    keys = F.json_object_keys(column)
+    kind = lambda f: F.schema_of_variant(F.try_variant_get("entry", f"$.{f}", "variant"))
+    text = lambda f: F.when(kind(f) == "STRING", F.try_variant_get("entry", f"$.{f}", "string"))
+    absent = lambda f: ~F.coalesce(F.array_contains(keys, f), F.lit(False))
     lists = ("expected_answer_contains", "expected_chunk_ids", "expected_document_ids")
     typed = base.withColumns(
         {
             "audio": text("audio"),
             "reference": text("reference"),
-            "expected_status": F.coalesce(text("expected_status"), F.lit("answered")),
+            "expected_status": F.when(absent("expected_status"), "answered").otherwise(text("expected_status")),
             "expected_refusal_reason": text("expected_refusal_reason"),
             **{f: _strings(f) for f in lists},
+            "_wrong": F.coalesce(~kind("reference").isin("STRING", "VOID"), F.lit(False)),
+            "_reason": F.coalesce(~kind("expected_refusal_reason").isin("STRING", "VOID"), F.lit(False)),
+            "_lists": F.coalesce(
+                *[F.when(~_is_strings(kind(f), F.try_variant_get("entry", f"$.{f}", "array<variant>")), True) for f in lists],
+                F.lit(False),
+            ),
         }
     )
 
@@ -86,15 +102,18 @@ def scan_eval_manifest(raw: DataFrame, column: str = "body") -> DataFrame:
         F.when(F.col("_unknown").isNull(), "not_an_object")
         .when(F.size("_unknown") > 0, "unknown_field")
         .when(F.col("audio").isNull() | T.is_blank(F.col("audio")), "audio_missing")
+        .when(F.col("_wrong"), "reference_type")
         .when(F.col("reference").isNotNull() & T.is_blank(F.col("reference")), "reference_blank")
-        .when(~status.isin(*V.STATUSES), "status_unknown")
+        .when(status.isNull() | ~status.isin(*V.STATUSES), "status_unknown")
+        .when(F.col("_reason"), "refusal_reason_not_allowed")
         .when(reason.isNotNull() & ((status != "refused") | ~reason.isin(*V.REFUSAL_REASONS)), "refusal_reason_not_allowed")
+        .when(F.col("_lists"), "oracle_list_invalid")
         .when(bad(lists[0]) | bad(lists[1]) | bad(lists[2]), "oracle_list_invalid")
         .when(wordless, "answer_text_without_words")
         .when((status == "answered") & ~oracle, "oracle_missing")
         .when((status == "refused") & oracle, "oracle_forbidden")
     )
-    out = typed.withColumn("reject_reason", problem).drop("entry", "_unknown")
+    out = typed.withColumn("reject_reason", problem).drop("entry", "_unknown", "_wrong", "_reason", "_lists")
     for name in lists:
         cleaned = F.array_distinct(F.transform(name, T.strip))
         out = out.withColumn(name, F.coalesce(cleaned, F.array().cast("array<string>")))
