@@ -1,77 +1,87 @@
 import random
-import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessarine.operators import chunking as C
 
-BOUNDARY = re.compile(r"(?:\n\s*\n|[.!?;:।॥]\s+|\n|,\s+)")
-
-
-def expected_spans(text, size, overlap):
-    """Brute force of the character walk."""
-    at, out = 0, []
-    while at < len(text):
-        hard = min(at + size, len(text))
-        ends = [m.end() for m in BOUNDARY.finditer(text, at + size // 2, hard)] if hard < len(text) else []
-        stop = ends[-1] if ends else hard
-        piece = text[at:stop]
-        if piece.strip():
-            left = at + len(piece) - len(piece.lstrip())
-            out.append((left, at + len(piece.rstrip())))
-        if stop == len(text):
-            break
-        at = max(at + 1, stop - overlap)
-    return out
-
 
 def noisy_texts(n):
     rng = random.Random(11)
     return ["".join(rng.choice(["ab", "c", ". ", ", ", "\n", "\n \n", "; ", " ", " ", "।  ", "é"]) for _ in range(rng.randint(1, 120))) for _ in range(n)]
 
 
-def test_naive_walk_equals_brute_force(spark):
-    texts = noisy_texts(120)
-    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "document_id string, text string")
-    for size, overlap in ((32, 6), (20, 0), (9, 8)):
-        rows = C.naive_chunks(df, size, overlap).collect()
-        got = {}
-        for r in sorted(rows, key=lambda r: r.chunk_index):
-            got.setdefault(int(r.document_id), []).append((r.start_char, r.end_char))
-            assert r.text == texts[int(r.document_id)][r.start_char : r.end_char]
-        for i, t in enumerate(texts):
-            assert got.get(i, []) == expected_spans(t, size, overlap), (i, size)
-
-
-def expected_token_spans(text, target, overlap, window):
-    marks = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
-    out = []
-    for low in range(0, len(marks), window):
-        final, at = min(low + window, len(marks)), low
-        while at < final:
-            hard = min(at + target, final)
-            last = hard
-            if hard < final:
-                base = at + max(1, target // 2)
-                ends = [m.end() + marks[base][0] for m in BOUNDARY.finditer(text[marks[base][0] : marks[hard - 1][1]])]
-                fits = [i + 1 for i in range(base, hard) if ends and marks[i][1] <= ends[-1]]
-                last = fits[-1] if fits else hard
-            out.append((at, last, marks[at][0], marks[last - 1][1]))
-            if last == final:
-                break
-            at = max(at + 1, last - overlap)
+def by_document(rows, *fields):
+    out = {}
+    for r in sorted(rows, key=lambda r: (int(r.document_id), r.chunk_index)):
+        out.setdefault(int(r.document_id), []).append(tuple(r[f] for f in fields))
     return out
 
 
-def test_token_walk_equals_brute_force(spark):
+CHARACTER_CASES = {
+    "sentence end in the second half": ("abcdef. ghijklmnop", 10, 0, [(0, 7), (8, 18)]),
+    "no boundary, overlap": ("abcdefghijklmno", 10, 3, [(0, 10), (7, 15)]),
+    "line break": ("abcdefg\nhijk lmnop", 10, 0, [(0, 7), (8, 18)]),
+    "boundary in the first half is passed over": ("ab. cdefghijklmn", 10, 0, [(0, 10), (10, 16)]),
+    "last of two boundaries": ("abcde, fg, hijklmnop", 12, 0, [(0, 10), (11, 20)]),
+    "short": ("  abc ", 10, 2, [(2, 5)]),
+    "blank": (" \n ", 10, 2, []),
+}
+TOKEN_CASES = {
+    "no boundary": ("one two three four five six", 4, 1, 100, [(0, 4), (3, 6)]),
+    "comma in the second half": ("one two three, four five six seven", 5, 1, 100, [(0, 3), (2, 7)]),
+    "windows are not crossed": ("one two three four five six", 4, 0, 4, [(0, 4), (4, 6)]),
+    "whole": (" one  two ", 4, 1, 100, [(0, 2)]),
+}
+
+
+@pytest.mark.parametrize("text, size, overlap, spans", CHARACTER_CASES.values(), ids=list(CHARACTER_CASES))
+def test_character_spans(spark, text, size, overlap, spans):
+    df = spark.createDataFrame([("0", text)], "document_id string, text string")
+    assert by_document(C.naive_chunks(df, size, overlap).collect(), "start_char", "end_char").get(0, []) == spans
+
+
+@pytest.mark.parametrize("text, target, overlap, window, spans", TOKEN_CASES.values(), ids=list(TOKEN_CASES))
+def test_token_spans(spark, text, target, overlap, window, spans):
+    df = spark.createDataFrame([("0", text)], "document_id string, text string")
+    assert by_document(C.token_chunks(df, target, overlap, window).collect(), "first_token", "last_token").get(0, []) == spans
+
+
+def test_character_chunks_cover_all_texts(spark):
+    texts = noisy_texts(120) + ["ab, cd. " * 3000]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "document_id string, text string")
+    for size, overlap in ((32, 6), (20, 0), (9, 4)):
+        found = by_document(C.naive_chunks(df, size, overlap).collect(), "start_char", "end_char", "text")
+        for i, text in enumerate(texts):
+            spans, covered = found.get(i, []), set()
+            for start, end, piece in spans:
+                assert piece == text[start:end] and 0 < end - start <= size and piece == piece.strip()
+                covered |= set(range(start, end))
+            assert {k for k, c in enumerate(text) if not c.isspace()} <= covered
+            for (start, end, _), (after, _, _) in zip(spans, spans[1:], strict=False):
+                assert start <= after and after >= end - overlap
+                gap = text[end:after] if after > end else ""
+                assert end - start > size // 2 - 3 or gap.isspace()  # cut in the second half, less outer spaces
+
+
+def test_token_chunks_cover_all_tokens(spark):
     texts = [t for t in noisy_texts(80) if t.strip()]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "document_id string, text string")
     for target, overlap, window in ((5, 1, 12), (6, 2, 7), (8, 0, 1000)):
-        got = {}
-        for r in sorted(C.token_chunks(df, target, overlap, window).collect(), key=lambda r: r.chunk_index):
-            got.setdefault(int(r.document_id), []).append((r.first_token, r.last_token, r.start_char, r.end_char))
-        for i, t in enumerate(texts):
-            assert got.get(i, []) == expected_token_spans(t, target, overlap, window), (i, target)
+        found = by_document(C.token_chunks(df, target, overlap, window).collect(), "first_token", "last_token", "text")
+        for i, text in enumerate(texts):
+            tokens, spans = text.split(), found[i]
+            assert [t for t in range(len(tokens)) if not any(a <= t < b for a, b, _ in spans)] == []
+            for first, last, piece in spans:
+                assert piece.split() == tokens[first:last] and last - first <= target and first // window == (last - 1) // window
+            for (_, last, _), (after, _, _) in zip(spans, spans[1:], strict=False):
+                assert after == last if last % window == 0 else last - overlap <= after or after > last - target
+
+
+def test_chunks_need_no_shuffle(spark):
+    df = spark.createDataFrame([("0", "a b. c")], "document_id string, text string")
+    for chunks in (C.naive_chunks(df), C.token_chunks(df), C.document_windows(df)):
+        assert "Exchange" not in chunks._jdf.queryExecution().executedPlan().toString()
 
 
 def test_late_pooling_gives_unit_vectors(spark):

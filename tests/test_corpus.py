@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessarine.operators import profile as P
+from tessarine.plans.build_index import build_index
 from tessarine.session import shared_folder
 from tessarine.sources import corpus, inputs, store
 
@@ -10,8 +11,8 @@ SCHEMA = (
     "query string, Answer string, query_id long, query_type string, passages struct<Translated_passages:array<string>,English_passages:array<string>,is_selected:array<string>>, Eng_Query string, Eng_Answer string, record_no int"
 )
 ROW = (
-    "hi", "eng_Latn", "hin_Deva", ("m", 0.0, 4096, 1.0, 0.0, 0.0), "भारत की राजधानी क्या है?", "नई दिल्ली", 42, "LOCATION",
-    (["भारत की राजधानी नई दिल्ली है।", ""], ["The capital of India is New Delhi."], ["1", "0", "unexpected"]), "What is the capital of India?", "New Delhi", 0,
+    "hi", "src_L", "dst_D", ("m1", 0.0, 512, 0.9, 0.0, 0.0), "घाट कब बना?", "1640 में", 31, "DATE",
+    (["घाट 1640 में बना।", ""], ["The quay was built in 1640."], ["1", "0", "perhaps"]), "When was the quay built?", "In 1640", 0,
 )
 
 
@@ -22,16 +23,38 @@ def test_profile_of_a_mismatched_record(spark):
     lengths = {r.metric: r for r in P.whole_number_summary(P.length_metrics(df), ["metric"]).collect()}
     assert lengths["translated_passage_tokens"]["count"] == 1
     categories = {(r.field, r.value): r.n for r in P.categorical_counts(df).collect()}
-    assert categories[("target_lang", "hin_Deva")] == 1 and categories[("meta.temperature", "0")] == 1
+    assert categories[("target_lang", "dst_D")] == 1 and categories[("meta.temperature", "0")] == 1
 
 
 def test_document_and_query_ids(spark):
-    row = list(ROW)
-    row[6], row[8] = 17, (["first", " ", "third"], [], ["1", None])
-    df = spark.createDataFrame([tuple(row)], SCHEMA)
-    docs = {r.id: r.is_selected for r in corpus.explode_passages(df).collect()}
-    assert docs == {"hi:17:0": True, "hi:17:2": False}
-    assert corpus.project_queries(df, "record_no").first().id == "hi:17"
+    def record(number, query_id, passages, labels=()):
+        row = list(ROW)
+        row[6], row[8], row[-1] = query_id, (passages, [], list(labels)), number
+        return tuple(row)
+
+    rows = [record(0, 17, ["first", " ", "third"], ["1", None]), record(1, None, ["a"]), record(2, None, ["b"]), record(3, 17, ["again"]), record(4, 2, ["c"])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    docs = {r.id: (r.text, r.is_selected) for r in corpus.explode_passages(df, "record_no").collect()}
+    assert docs == {
+        "hi:17:0": ("first", True), "hi:17:2": ("third", False), "hi:1:0": ("a", False), "hi:2:0": ("b", False),
+        "hi:17#2:0": ("again", False), "hi:2#2:0": ("c", False),
+    }
+    queries = [r.id for r in corpus.project_queries(df, "record_no").collect()]
+    assert sorted(queries) == ["hi:1", "hi:17", "hi:17#2", "hi:2", "hi:2#2"]
+
+
+def test_index_holds_every_record(spark):
+    rows = []
+    for number, query_id in enumerate([7, 7, None, None]):
+        row = list(ROW)
+        row[6], row[8], row[-1] = query_id, (["quay stone"], [], []), number
+        rows.append(tuple(row))
+    df = spark.createDataFrame(rows, SCHEMA)
+    ids = [r.id for r in corpus.explode_passages(df, "record_no").collect()]
+    tokens = spark.createDataFrame([(i, pos, [1.0, float(n), 0.5, 2.0]) for n, i in enumerate(ids) for pos in (0, 1)], "document_id string, pos int, vector array<float>")
+    index = build_index(df, tokens, prefix_dim=2, full_dim=4)
+    assert sorted(r.chunk_id for r in index.collect()) == sorted(f"{i}:late:0" for i in ids) and len(set(ids)) == 4
+    assert build_index(df, tokens, prefix_dim=2, full_dim=4, max_documents=3).count() == 3
 
 
 def test_small_workloads_are_refused(spark):
@@ -39,6 +62,8 @@ def test_small_workloads_are_refused(spark):
     with pytest.raises(ValueError):
         inputs.require_rows(rows)
     assert inputs.require_rows(spark.range(30)).count() == 30
+    with pytest.raises(ValueError):
+        inputs.require_rows(spark.range(40).withColumn("reject_reason", F.when(F.col("id") % 2 == 0, "blank_query")))
 
 
 def test_snapshots_and_stores_check_themselves(spark):
@@ -61,9 +86,22 @@ def test_scan_prunes_partitions(spark):
     corpus.write_by_language(spark.createDataFrame([(1, "en"), (2, "de")], "id int, language string"), path)
     scan = corpus.scan_by_language(spark, path, ["de"])
     assert scan.first().id == 2
-    assert "PartitionFilters: [isnotnull(language" in scan._jdf.queryExecution().executedPlan().toString() or "language" in scan.columns
+    assert "PartitionFilters: [isnotnull(language" in scan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_validation_file_names(spark):
     paths = {r.language: r.path for r in corpus.expected_files(spark, "validation").collect()}
     assert paths["hi"] == "validation/hinval.parquet" and len(paths) == 14
+
+
+def test_malformed_rows_are_counted(spark):
+    df = spark.createDataFrame([('{"a":1}',), ("{",), (None,)], "body string")
+    r = P.observed_schema(df, "body").first()
+    assert (r.observed, r.malformed) == ("OBJECT<a: BIGINT>", 1)
+
+
+def test_artifacts_and_report(spark):
+    path = shared_folder(spark, "a")
+    spark.range(10).write.parquet(path)
+    sizes = corpus.artifact_sizes(spark, path).collect()
+    assert len(sizes) > 0 and all(v > 0 for r in sizes for v in r if isinstance(v, int))
