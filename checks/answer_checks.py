@@ -249,9 +249,9 @@ def sentence_support(spark, sf):
 def token_intersection(spark, sf):
     """Multiset overlap of claim and evidence tokens, counted by joins on the token."""
     claims = own_claims(spark, sf)
-    mine = claims.select("request_id", "claim_index", F.explode("claim_content").alias("t")).groupBy("request_id", "claim_index", "t").agg(F.count(F.lit(1)).alias("n"))
-    held = sample_answers(spark, sf).select("request_id", F.explode(F.col("evidence")[0]["tokens"]).alias("t")).groupBy("request_id", "t").agg(F.count(F.lit(1)).alias("m"))
-    matched = mine.join(held, ["request_id", "t"]).groupBy("request_id", "claim_index").agg(F.sum(F.least("n", "m")).alias("matched"))
+    mine = claims.select("request_id", "claim_index", F.explode("claim_content").alias("token"))
+    held = sample_answers(spark, sf).select("request_id", F.explode(F.col("evidence")[0]["tokens"]).alias("token"))
+    matched = G.token_overlap(mine, held, ["request_id", "claim_index"], ["request_id"])
     return claims.select("request_id", "claim_index", F.size("claim_content").cast("long").alias("claim_n")).join(
         matched, ["request_id", "claim_index"], "left"
     ).select("request_id", F.col("claim_index").cast("long").alias("claim_index"), F.coalesce("matched", F.lit(0)).alias("matched"), "claim_n")
@@ -362,13 +362,19 @@ def strip_markdown_prefix(spark, sf):
     return sample_answers(spark, sf).select("request_id", T.strip_markdown_prefix(F.col("answer")).alias("plain"))
 
 
-@query("first_seen_evidence", "SELECT request_id, array_to_string(c, '|') AS first_seen FROM (SELECT request_id, list_distinct(list(own_chunk_id)) AS c FROM fx_claims WHERE len(cited) > 0 AND NOT list_contains(cited, 'invented') GROUP BY request_id)")
+@query(
+    "first_seen_evidence",
+    """SELECT doc_id, array_to_string(list_transform(list_filter(['a', 'b', 'c'], lambda x: x <> 'c' OR doc_id % 2 = 0),
+       lambda x: CASE WHEN (doc_id % 3 = 0) = (x = 'a') THEN x || doc_id ELSE x || (doc_id + 1) END), '|') AS first_seen FROM documents""",
+)
 def first_seen_evidence(spark, sf):
-    known = sample_answers(spark, sf).withColumn("a", F.concat("answer", F.lit(" "), "answer"))
-    cited = F.array_distinct(T.citations(F.col("a")))
-    return known.withColumn("c", F.filter(cited, lambda c: c == F.col("chunk_id"))).filter(F.size("c") > 0).select(
-        "request_id", F.array_join("c", "|").alias("first_seen")
-    )
+    """Answers citing known, repeated and unknown ids in an order of their own."""
+    n, after = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    own = [F.concat(F.lit(x), F.when((F.col("doc_id") % 3 == 0) == F.lit(x == "a"), n).otherwise(after)) for x in "abc"]
+    cite = lambda c: F.concat(F.lit(" [chunk:"), c, F.lit("]"))
+    answer = F.concat(F.lit("It"), cite(own[0]), cite(F.lit("invented")), cite(own[1]), cite(own[0]), cite(own[2]), cite(own[1]))
+    known = F.when(F.col("doc_id") % 2 == 0, F.array(own[2], own[1], own[0])).otherwise(F.array(own[1], own[0]))
+    return X.table(spark, sf, "documents").select("doc_id", F.array_join(A.first_seen(answer, known), "|").alias("first_seen"))
 
 
 @query("safe_citation_id", r"SELECT request_id, regexp_matches(own_chunk_id, '^[^\]\s]+$') AS plain_id, regexp_matches(query, '^[^\]\s]+$') AS text_as_id FROM fx_requests")
@@ -532,10 +538,9 @@ def _poles(as_sql: bool):
 )
 def antonym_conflict(spark, sf):
     """Documents holding both poles of a group: tokens meet the antonym table."""
-    poles = F.broadcast(spark.createDataFrame(_poles(False), "word_group int, pole int, word string"))
+    poles = spark.createDataFrame(_poles(False), "word_group int, pole int, word string")
     tokens = X.documents(spark, sf).select("doc_id", F.explode(T.lexical_tokens(F.col("text"))).alias("word"))
-    held = tokens.join(poles, "word").groupBy("doc_id", "word_group").agg(F.min("pole").alias("a"), F.max("pole").alias("b"))
-    return held.filter("a <> b").select("doc_id", "word_group")
+    return A.antonym_conflicts(tokens, poles, "doc_id")
 
 
 # Requests ----------------------------------------------------------------------------

@@ -210,3 +210,17 @@ def context_json(evidence: DataFrame) -> DataFrame:
             )
         ).alias("payload"),
     )
+
+
+def antonym_conflicts(tokens: DataFrame, poles: DataFrame, key: str) -> DataFrame:
+    """(key, word_group) of texts holding words of both poles of a group.
+
+    `tokens`: key, word; `poles`: word_group, pole, word, a fixed word list and so broadcast.
+    """
+    held = tokens.join(F.broadcast(poles), "word").groupBy(key, "word_group")
+    return held.agg(F.min("pole").alias("low"), F.max("pole").alias("high")).filter("low <> high").select(key, "word_group")
+
+
+def first_seen(answer: Column, known: Column) -> Column:
+    """Distinct cited ids of an answer that are known, in order of first citation."""
+    return F.array_intersect(F.array_distinct(T.citations(answer)), known)

@@ -423,3 +423,13 @@ def unknown_citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """(request_id, chunk_id) cited but absent from the request's evidence."""
     cited = answers.select("request_id", F.explode(T.citations(F.col("answer"))).alias("chunk_id")).distinct()
     return cited.join(evidence.select("request_id", "chunk_id"), ["request_id", "chunk_id"], "left_anti")
+
+
+def token_overlap(mine: DataFrame, theirs: DataFrame, keys: list[str], shared: list[str]) -> DataFrame:
+    """Multiset overlap `matched` of token rows per `keys`, against the tokens of the same `shared` keys.
+
+    Tokens are counted before they meet, so a frequent token is one row on each side.
+    """
+    left = mine.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
+    right = theirs.groupBy(*shared, "token").agg(F.count(F.lit(1)).alias("m"))
+    return left.join(right, [*shared, "token"]).groupBy(*keys).agg(F.sum(F.least("n", "m")).alias("matched"))

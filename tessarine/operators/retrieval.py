@@ -327,8 +327,7 @@ def ann_candidates(
 ) -> DataFrame:
     """Approximate stage 1: score a request only against the cells nearest to it.
 
-    Cells are k-means clusters of the prefix vectors (a few hundred centroids, the
-    only thing the driver holds).  A crowded cell is cut into as many tiles as its
+    Cells are k-means clusters of the prefix vectors; their matrix is the only thing the driver holds.  A crowded cell is cut into as many tiles as its
     measured row count asks for, and so is a cell many requests probe.
     """
     from pyspark.ml.clustering import KMeans
@@ -339,22 +338,23 @@ def ann_candidates(
     placed = model.transform(vectors_df).select(
         "chunk_id", F.col("prefix").alias("vector"), F.col("prediction").alias("cell")
     )
-    centers = [[float(x) for x in center] for center in model.clusterCenters()]
+    # cells x dims numbers, both of them parameters; tasks multiply by the whole matrix at once.
+    centers = np.array(model.clusterCenters(), dtype=np.float64)
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        found = []
+        for at in range(0, len(vectors), 4096):
+            rows = np.stack(vectors.iloc[at : at + 4096].to_numpy()).astype(np.float64)
+            squared = (centers**2).sum(axis=1) - 2 * rows @ centers.T
+            found.extend(np.argsort(squared, axis=1, kind="stable")[:, :probes].astype(np.int32))
+        return pd.Series(found, index=vectors.index)
 
-    def squared(center: list[float]) -> Column:
-        target = F.array(*[F.lit(x) for x in center])
-        terms = F.zip_with("prefix", target, lambda x, y: (x - y) * (x - y))
-        return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
-
-    distances = F.array(
-        *[F.struct(squared(c).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centers)]
-    )
-    nearest = F.slice(F.array_sort(distances), 1, probes)
     probed = requests.select(
         "request_id",
         F.col("prefix").alias("vector"),
         F.col("candidate_k").cast("int").alias("k"),
-        F.explode(F.transform(nearest, lambda s: s["cell"])).alias("cell"),
+        F.explode(nearest("prefix")).alias("cell"),
     )
 
     def parts(df: DataFrame, name: str, size: int) -> DataFrame:

@@ -39,15 +39,22 @@ def answer_committed(
     """Committed transcripts only reach the answer flow; partials never do.
 
     Each micro-batch joins its committed events with the request table and appends the
-    answers to its own folder, so a repeated batch overwrites instead of doubling.
+    answers to its own folder, so a repeated batch overwrites instead of doubling. Ids asked in
+    earlier batches are passed over, so a request committed again is answered once.
     """
     spark: SparkSession = events.sparkSession
     path = shared_folder(spark, name)
+    empty = answer(requests.limit(0))
+    empty.write.parquet(f"{path}/out/batch=-1")
+    requests.select("request_id").limit(0).write.parquet(f"{path}/asked/batch=-1")
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        before = spark.read.parquet(f"{path}/asked").where(F.col("batch") < batch_id)
         committed = batch.filter("event = 'committed'").select("request_id").distinct()
-        asked = requests.join(committed, "request_id", "left_semi")
-        answer(asked).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        asked = requests.join(committed, "request_id", "left_semi").join(before, "request_id", "left_anti")
+        asked.select("request_id").write.mode("overwrite").parquet(f"{path}/asked/batch={batch_id}")
+        now = spark.read.parquet(f"{path}/asked").where(F.col("batch") == batch_id)
+        answer(requests.join(now, "request_id", "left_semi")).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
     query = (
         events.writeStream.foreachBatch(run)

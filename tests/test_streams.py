@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import evaluation_checks as EC
 from checks import fixtures as X
 from tessarine.operators import ordered
+from tessarine.session import shared_folder
 from tessarine.streaming import admission, runs, sessions
 
 
@@ -83,3 +84,21 @@ def test_protocol(spark, events, problem):
     rows = [("s", i, i, e, "x") for i, e in enumerate(events)]
     df = spark.createDataFrame(rows, "session string, event_id long, t long, event string, text string").withColumn("ts", F.timestamp_seconds("t"))
     assert sessions.session_protocol(df).first().problem == problem
+
+
+def test_a_request_committed_twice_is_answered_once(spark):
+    path = shared_folder(spark, "twice")
+    for number, ids in enumerate((["a", "b"], ["b", "c"], ["a"])):
+        spark.createDataFrame([(i, "committed") for i in ids], "request_id string, event string").coalesce(1).write.mode("append").parquet(path)
+    events = spark.readStream.schema("request_id string, event string").option("maxFilesPerTrigger", 1).parquet(path)
+    requests = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "request_id string")
+    got = runs.answer_committed(events, requests, lambda asked: asked.withColumn("answer", F.lit("x")), "twice-out")
+    assert sorted(r.request_id for r in got.collect()) == ["a", "b", "c"]
+
+
+def test_a_stream_without_input_has_no_answers(spark):
+    path = shared_folder(spark, "none")
+    spark.createDataFrame([], "request_id string, event string").write.parquet(path)
+    events = spark.readStream.schema("request_id string, event string").parquet(path)
+    requests = spark.createDataFrame([("a",)], "request_id string")
+    assert runs.answer_committed(events, requests, lambda asked: asked, "none-out").count() == 0
