@@ -159,7 +159,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         roots.withColumnRenamed("node", "rep"), "rep", "left"
     )
     known = stored(known.withColumn("root", F.coalesce("root", "rep")), "representative-roots")
-    names = known.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    names = stored(known.groupBy("root").agg(F.min("lowest").alias("component_id")), "vector-names")
     known = stored(
         known.join(names, "root").select("rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"),
         "vector-groups",
