@@ -137,7 +137,7 @@ def simhash_groups(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame
         "root", F.coalesce("root", "fp")
     )
     lowest = stored(lowest, "lowest")
-    named = lowest.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    named = stored(lowest.groupBy("root").agg(F.min("lowest").alias("component_id")), "component-names")
     groups = stored(lowest.select("fp", "root").join(named, "root"), "groups")
     return prints.join(groups, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
