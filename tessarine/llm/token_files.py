@@ -27,6 +27,7 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 PER_WORD = np.array([n for n, _ in SELECTORS])
 BLOCK_IDS = 1 << 16
 STRIDE = 1024
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 BLOCKS = (
     "shard int, block int, first long, n_ids long, words binary, at array<int>, skip array<int>, "
@@ -152,7 +153,12 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str | Path, end_id:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("mark", F.xxhash64("text"))
     dealt = docs.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
-    dealt.mapInArrow(task, BLOCKS).write.parquet(path)
+    settings, held = docs.sparkSession.conf, docs.sparkSession.conf.get(BATCH_BYTES, None)
+    settings.set(BATCH_BYTES, "8m")  # a batch is held several times over, in the JVM and in Python
+    try:
+        dealt.mapInArrow(task, BLOCKS).write.parquet(path)
+    finally:
+        settings.set(BATCH_BYTES, held) if held else settings.unset(BATCH_BYTES)
 
 
 LISTS = {"at": pa.int32(), "skip": pa.int32(), "escape_at": pa.int32(), "escape_value": pa.int64(), "doc_ids": pa.int64(), "doc_tokens": pa.int64()}
