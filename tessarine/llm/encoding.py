@@ -25,7 +25,7 @@ PRE_TOKEN = (
 UNKNOWN = r"[^\t-\r -~\xa0-ɏ]"
 #: Where cutting a text before each space would cut a run of spaces apart.
 RUN_OF_SPACES = rf"[{SPACES}] (?:[{SPACES}]|\Z)"
-CACHED = 300_000
+CACHED = 500_000
 
 
 def byte_letters() -> dict[int, str]:
