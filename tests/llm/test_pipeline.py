@@ -8,6 +8,7 @@ from test_decontaminate import expected as leaks
 from test_mixing import expected_targets
 from test_quality import FAULTS, VOCABULARY, good
 from test_simhash import expected as groups
+from test_simhash import similar_groups
 from tokenizers import Tokenizer
 
 from tessarine.llm.common import stored
@@ -56,3 +57,15 @@ def test_stages_match_brute_force(spark, make_docs, tmp_path):
     assert max(r.start + r.n_tokens for r in files) == start
     again = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, files))
+
+
+def test_dedup_stage_drops_edited_copies(spark, make_docs):
+    rows = [r for r in fixture()[0] if r[0] < 120]
+    for i in range(20):
+        tokens = rows[i * 5][1].split()
+        tokens[len(tokens) // 2] = "edited"
+        tokens[-1:] = ["other", "end"]
+        rows.append((700 + i, " ".join(tokens), "en", "s0"))
+    got = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, make_docs(rows), "")
+    want = set(similar_groups([r[:2] for r in rows]).values())
+    assert {r.doc_id for r in got.collect()} == want and len(want & set(range(700, 720))) < 10

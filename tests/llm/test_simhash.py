@@ -98,3 +98,47 @@ def test_components_of_chains_and_stars(spark):
     df = spark.createDataFrame([*chain, *star, (5, 5), (None, 3), (77, 78), (78, 77)], "a long, b long")
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 900 for i in [*range(900, 960), 1000]}, 77: 77, 78: 77}
+
+
+def similar_groups(rows):
+    """Smallest doc_id of each component of five-word shingle sets at 0.8 or more."""
+    sets = []
+    for _, text in rows:
+        tokens = (text or "").lower().split()
+        n = min(5, len(tokens))
+        sets.append({tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)} if n else set())
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return {g: min(r[0] for r, h in zip(rows, group, strict=True) if h == g) for g in group}
+
+
+def edited_copies():
+    draw = random.Random(41)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows = [(i, " ".join(draw.choices(vocabulary, k=draw.choice([8, 9, 12, 30, 120, 600, 3000])))) for i in range(150)]
+    for i in range(150, 400):
+        tokens = rows[draw.randrange(150)][1].split()
+        for _ in range(draw.randint(1, max(1, len(tokens) // 25))):
+            place = draw.choice([0, len(tokens) - 1, draw.randrange(len(tokens))])
+            tokens[place : place + 1] = draw.choice([[], ["edited"], [tokens[place], "more"]])
+        rows.append((i, " ".join(tokens)))
+    chain = draw.choices(vocabulary, k=200)
+    rows += [(500 + i, " ".join(["new"] * 1 + chain[8 * i : 8 * i + 120])) for i in range(9)]
+    return rows + [(600, None), (601, "  "), (602, "a b"), (603, "A\tb"), (604, "a c")]
+
+
+def test_edited_copies_fall_at_five_word_similarity(make_docs, monkeypatch):
+    rows = edited_copies()
+    kept = sorted(similar_groups(rows).values())
+    assert len(kept) < len(rows) - 100
+    docs = make_docs(rows, extra=("key", "root", "first", "n"))
+    got = simhash.drop_similar(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == kept
+    monkeypatch.setattr(simhash, "BODY_WORDS", 300)
+    monkeypatch.setattr(simhash, "TILE", 8)
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == kept
+    assert simhash.drop_similar(make_docs([])).count() == 0
