@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,6 +17,7 @@ from tessarine.llm.common import pieces, words
 
 SHINGLE = 5
 RADIUS = 20
+SHORT = 6
 BLOCKS = 8
 BLOCK_BYTES = 32 << 20
 FILTER_BITS = 20
@@ -127,6 +129,8 @@ class Benchmark:
         """For each item found, the greatest similarity of a window and its first place: (similarity, start, end)."""
         tokens, out = words(text), {}
         word_hashes = hash_words(tokens)
+        # No more shingles than this can an item have and be similar: those of the text are at most all shared.
+        longest = max(len(tokens), math.floor((len(tokens) - SHINGLE + 1) / threshold + 1e-9) + SHINGLE - 1)
         for shingle in self.sizes:
             hashes = shingle_hashes(word_hashes, shingle)
             hits = np.flatnonzero(self.filter[hashes & np.uint64((1 << FILTER_BITS) - 1)])
@@ -134,22 +138,28 @@ class Benchmark:
                 continue
             seen = hashes[hits]
             for part in self.lengths:
-                if min(SHINGLE, part.size) != shingle or part.size > len(tokens):
+                if min(SHINGLE, part.size) != shingle or part.size > longest:
                     continue
                 at = np.minimum(np.searchsorted(part.hashes, seen), len(part.hashes) - 1)
                 own = hits[part.hashes[at] == seen]
                 if not len(own):
                     continue
-                span = part.size - shingle + 1
+                size = min(part.size, len(tokens))  # a text shorter than the item is its only window
+                span = size - shingle + 1
                 starts = (own[:, None] - np.arange(span)).ravel()
-                starts = np.unique(starts[(starts >= 0) & (starts <= len(tokens) - part.size)])
+                starts = np.unique(starts[(starts >= 0) & (starts <= len(tokens) - size)])
                 prints = window_prints(hashes, starts, span)
-                for w, item in part.candidates(prints, self.radius):
+                if size < part.size:  # one window needs no index; short ones stray further
+                    close = np.bitwise_count(part.prints ^ prints[0]) <= self.radius + SHORT if len(prints) else []
+                    pairs = ((0, item) for item in np.flatnonzero(close).tolist())
+                else:
+                    pairs = part.candidates(prints, self.radius)
+                for w, item in pairs:
                     start = int(starts[w])
-                    found = similarity(shingles(tokens[start : start + part.size]), part.counts[item])
+                    found = similarity(shingles(tokens[start : start + size]), part.counts[item])
                     key = part.items[item]
                     if found >= threshold and (key not in out or found > out[key][0]):
-                        out[key] = (found, start, start + part.size)
+                        out[key] = (found, start, start + size)
         return out
 
 
@@ -169,7 +179,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radi
     """Matches (doc_id, item_id, similarity, start_word, end_word): each document's best window for each item.
 
     Words are compared with A-Z in lower case. Windows have the item's number of words and are
-    compared by five-word shingles with their counts (a shorter item is one shingle). A window that shares no shingle with an item of its
+    compared by five-word shingles with their counts (a shorter item is one shingle); a document shorter than the
+    item is one window. A window that shares no shingle with an item of its
     length has similarity 0, so only the others get a fingerprint; blocks of bits then give every item
     within `radius` of it, and exact weighted Jaccard similarity decides. Fingerprints of windows at
     0.8 differ in about 10 of 64 bits, so the radius of 20 is over three deviations beyond.

@@ -90,3 +90,20 @@ def test_empty_tables(spark, make_docs):
     assert D.contaminated(make_docs([(1, "a b c")]), none).count() == 0
     assert D.decontaminate(make_docs([(1, "a b c")]), none).count() == 1
     assert D.contaminated(make_docs([]), items_frame(spark, [(1, "a b c d e f")])).count() == 0
+
+
+def test_documents_shorter_than_the_item(spark, make_docs):
+    draw = random.Random(8)
+    items = [(k, " ".join(draw.choices([f"w{i}" for i in range(400)], k=n))) for k, n in enumerate((5, 6, 9, 14, 24, 40, 57))]
+    rows, want = [], []
+    for item, text in items:
+        own = text.split()
+        for less in range(1, 14):
+            for part in (own[less:], own[:-less], own[less // 2 : len(own) - (less - less // 2)]):
+                rows.append((len(rows), " ".join(part)))
+                s = D.similarity(D.shingles(part), D.shingles(own))
+                want += [(len(rows) - 1, item, s, 0, len(part))] * (s >= 0.8)
+    got = sorted(tuple(r) for r in D.contaminated(make_docs(rows), items_frame(spark, items)).collect())
+    assert got == want and len(want) > 40
+    kept = {r.doc_id for r in D.decontaminate(make_docs(rows), items_frame(spark, items)).collect()}
+    assert kept == {r[0] for r in rows} - {w[0] for w in want}
