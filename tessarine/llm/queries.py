@@ -179,7 +179,7 @@ FROM every e LEFT JOIN gone_at g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP
 
 @query("op2_lines", LINES_SQL)
 def op2_lines(spark: SparkSession, sf: str) -> DataFrame:
-    cut = lines.drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    cut = lines.drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"), long_words=None)  # as LINES_SQL
     return cut.select("doc_id", "lines", "deleted", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
