@@ -19,6 +19,7 @@ from tessarine.llm.common import pieces, stored
 
 BUCKETS = 1 << 12
 SAMPLE = 16_384
+STRETCH = 5000
 REJECT = 0.5
 BAD, GOOD, SILENT = 0, 1, 2
 
@@ -46,6 +47,13 @@ class Traits:
     stutters: int
     lines: int
     distinct_lines: int
+    varied: int
+
+
+def _varied(own: list[bytes]) -> int:
+    """Distinct words of each of the equal stretches of at most STRETCH words that make up a text, summed."""
+    parts = -(-len(own) // STRETCH)
+    return sum(len(set(own[k * len(own) // parts : (k + 1) * len(own) // parts])) for k in range(parts))
 
 
 def shapes(text: str) -> tuple[Counter, Traits]:
@@ -64,7 +72,7 @@ def shapes(text: str) -> tuple[Counter, Traits]:
     tails = sum(n for s, n in found.items() if not (s[-1:].isalnum() or s[-1] in PLAIN or s[-1:] == b"!"))
     stutters = sum(map(eq, own, own[1:]))
     symbols = len(raw) - capitals - small - digits - spaces - plain - marks
-    return found, Traits(len(own), capitals + small, capitals, symbols, marks, bare, len(set(own)), closed, tails, stutters, len(lines), len(set(lines)))
+    return found, Traits(len(own), capitals + small, capitals, symbols, marks, bare, len(set(own)), closed, tails, stutters, len(lines), len(set(lines)), _varied(own))
 
 
 def _between(value: float, good: float, bad: float) -> int:
@@ -78,7 +86,7 @@ LABELLERS = {
     "symbols": lambda t: SILENT if t.words < 5 else _between(t.symbols / t.words, 0.1, 0.3),
     "exclamation": lambda t: SILENT if t.words < 5 else _between(t.marks / t.words, 0.05, 0.3),
     "bare": lambda t: SILENT if t.words < 5 else _between(t.bare / t.words, 0.05, 0.2),
-    "variety": lambda t: SILENT if t.words < 50 or t.words > 5000 else _between(1 - t.distinct / t.words, 0.65, 0.85),
+    "variety": lambda t: SILENT if t.words < 50 else _between(1 - t.varied / t.words, 0.65, 0.85),
     "sentences": lambda t: SILENT if t.words < 20 else GOOD if 0.02 <= t.closed / t.words <= 0.4 else BAD if t.closed / t.words < 0.005 else SILENT,
     "lines": lambda t: SILENT if t.lines < 4 else _between(1 - t.distinct_lines / t.lines, 0.3, 0.6),
     "tails": lambda t: SILENT if t.words < 5 else _between(t.tails / t.words, 0.1, 0.3),

@@ -70,3 +70,14 @@ def test_empty_and_uniform_tables(make_docs):
     assert Q.drop_low_quality(make_docs([])).count() == 0
     draw = random.Random(1)
     assert {r.keep for r in Q.quality_scores(make_docs([(i, good(draw, 80)) for i in range(30)])).collect()} == {True}
+
+
+def test_variety_speaks_for_long_texts():
+    junk = "buy these cheap pills now at once. " * 1200
+    assert len(junk.split()) > 5000
+    variety = Q.LABELLERS["variety"]
+    assert variety(Q.shapes(junk)[1]) == Q.BAD
+    part = " ".join(junk.split()[:5000])
+    assert variety(Q.shapes(part)[1]) == Q.BAD
+    many = " ".join(f"w{i % 4000}" for i in range(40_000))
+    assert variety(Q.shapes(many)[1]) == variety(Q.shapes(" ".join(many.split()[:5000]))[1]) == Q.GOOD
