@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessarine.llm import conversations, counts, decontaminate, embedding, language, lines, lm, mixing, quality, simhash, token_files
+from tessarine.llm import conversations, counts, decontaminate, embedding, language, lines, lm, merkle, mixing, quality, simhash, token_files
 from tessarine.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,8 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_conversations")
 def op13_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf, "conversations")))
+
+
+@query("op11_merkle")
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf, "documents"), *merkle.cut_newlines())
