@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessarine.llm import conversations, counts, decontaminate, embedding, language, lines, lm, merkle, mixing, quality, simhash, token_files
+from tessarine.llm import conversations, counts, decontaminate, divergence, embedding, language, lines, lm, merkle, mixing, quality, simhash, token_files
 from tessarine.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,6 +193,106 @@ def op13_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf, "conversations")))
 
 
-@query("op11_merkle")
+MERKLE_SQL = """
+WITH RECURSIVE given AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)) AS crc
+  FROM documents),
+leaves AS (
+  SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295::BIGINT) % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS other
+  FROM given),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i FROM leaves),
+nodes AS (
+  SELECT source, 0 AS level, i, leaf AS h FROM placed
+  UNION ALL
+  SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM nodes)
+  WHERE n > 1 GROUP BY source, level, i // 3),
+subroots AS (
+  SELECT source, h AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY level DESC) AS turn FROM nodes) WHERE turn = 1),
+upper AS (
+  SELECT 0 AS level, place AS i, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM upper) WHERE n > 1 GROUP BY level, i // 3),
+summit AS (SELECT max(level) AS top, arg_max(h, level) AS root FROM upper),
+steps AS (
+  SELECT p.r, n.level, n.i, n.h, n.i < p.i // (3 ** n.level)::BIGINT AS ahead FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source
+    JOIN nodes n ON n.source IS NOT DISTINCT FROM p.source AND n.level < s.height
+      AND n.i // 3 = p.i // (3 ** (n.level + 1))::BIGINT AND n.i <> p.i // (3 ** n.level)::BIGINT
+  UNION ALL
+  SELECT p.r, 1000 + u.level, u.i, u.h, u.i < s.place // (3 ** u.level)::BIGINT FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source, summit, upper u
+  WHERE u.level < top AND u.i // 3 = s.place // (3 ** (u.level + 1))::BIGINT AND u.i <> s.place // (3 ** u.level)::BIGINT),
+every AS (
+  SELECT p.r, k AS level FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source, range(s.height) AS a(k)
+  UNION ALL SELECT p.r, 1000 + k FROM placed p, summit, range(top) AS b(k)),
+rungs AS (
+  SELECT e.r, e.level, coalesce(string_agg(h, '' ORDER BY i) FILTER (ahead), '') AS l, coalesce(string_agg(h, '' ORDER BY i) FILTER (NOT ahead), '') AS g
+  FROM every e LEFT JOIN steps t ON e.r = t.r AND e.level = t.level GROUP BY e.r, e.level),
+proofs AS (SELECT r, string_agg(l || g, '' ORDER BY level) AS siblings, list(l || '*' || g ORDER BY level) AS path FROM rungs GROUP BY r),
+folded AS (
+  SELECT p.*, s.subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(other, leaf), coalesce(path, [])), lambda node, step: sha256(replace(step, '*', node))) AS folded_root
+  FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source LEFT JOIN proofs q ON p.r = q.r, summit)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+@query("op11_merkle", MERKLE_SQL)
 def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest(table(spark, sf, "documents"), *merkle.cut_newlines())
+
+
+RULES_SQL = """
+WITH given AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda line: regexp_matches(line, '[^\\x20\\x09-\\x0D]')) AS lines,
+    regexp_extract_all(lower(translate(coalesce(text, ''), '#*$%&|<>.,;:!?', '')), '[^\\x20\\x09-\\x0D]+') AS plain
+  FROM documents),
+looked AS (SELECT r, lang, unnest(plain) AS word FROM given),
+common AS (
+  SELECT lang, word, turn FROM (
+    SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS turn FROM looked GROUP BY lang, word) WHERE turn <= 32),
+windows AS (
+  SELECT r, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM given)),
+repeated AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY r, a, b, c) AS times FROM windows), range(3) AS s(k) WHERE times > 1 GROUP BY r),
+sized AS (
+  SELECT g.*, len(words) AS n_words, coalesce(n, 0) AS n_repeat_words, length(text) AS size,
+    length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    length(regexp_replace(text, '[^\\p{Ll}]', '', 'g')) AS k1, length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) AS k2,
+    length(regexp_replace(text, '[^\\p{Nd}]', '', 'g')) AS k3, length(regexp_replace(text, '[^.,;:!?]', '', 'g')) AS k4
+  FROM given g LEFT JOIN repeated USING (r)),
+base AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    [k1, k2, k3, k4, size - word_chars, n_symbols, word_chars - n_symbols - k1 - k2 - k3 - k4] AS classes FROM sized),
+bins AS (SELECT r, lang, 'c' AS kind, k AS bin, classes[k] AS n FROM base, range(1, 8) AS s(k)
+  UNION ALL
+  SELECT r, l.lang, 'w', coalesce(turn, 0), count(*) FROM looked l LEFT JOIN common c ON l.lang IS NOT DISTINCT FROM c.lang AND l.word = c.word GROUP BY r, l.lang, turn),
+refs AS (
+  SELECT bins.lang, kind, bin, sum(n) AS n FROM bins JOIN base USING (r) WHERE NOT base_failed GROUP BY bins.lang, kind, bin),
+own AS (SELECT r, lang, kind, bin, n / sum(n) OVER (PARTITION BY r, kind) AS p FROM bins WHERE n > 0),
+whole AS (SELECT lang, kind, bin, n / sum(n) OVER (PARTITION BY lang, kind) AS q FROM refs WHERE n > 0),
+met AS (
+  SELECT r, own.kind, sum(p * log2(2 * p / (p + coalesce(q, 0)))) AS p_part, sum(coalesce(q * log2(2 * q / (p + q)), 0)) AS q_part, sum(coalesce(q, 0)) AS q_met
+  FROM own LEFT JOIN whole ON own.lang IS NOT DISTINCT FROM whole.lang AND own.kind = whole.kind AND own.bin = whole.bin GROUP BY r, own.kind),
+far AS (
+  -- bins that the document lacks add the share of the reference that it did not meet
+  SELECT r, kind, (p_part + q_part + 1 - q_met) / 2 AS squared FROM met WHERE q_met > 0),
+judged AS (
+  SELECT b.*, c.squared > 0.14 ** 2 + 5.0 / nullif(len(plain), 0) OR w.squared > 0.14 ** 2 + 12.0 / nullif(len(plain), 0) AS strange
+  FROM base b LEFT JOIN far c ON b.r = c.r AND c.kind = 'c' LEFT JOIN far w ON b.r = w.r AND w.kind = 'w')
+SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(len(plain) >= 50 AND strange, FALSE) AS kept
+FROM judged
+"""
+
+
+@query("op12_rules", RULES_SQL)
+def op12_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rows = divergence.divergence(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return rows.select(*divergence.BASE, "base_failed", "kept")
