@@ -10,10 +10,9 @@ from tessarine.llm.common import once, stored
 #: What separates words, what counts as a symbol, what is taken off words before they are looked up.
 SPACES = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-MARKS = SYMBOLS + ".,;:!?"
-#: Classes of characters next to spaces and symbols; what is in none is one more.
-CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:!?]")
+MARKS = "[#*$%&|<>.,;:!?]+"
+#: Classes of characters, in the order in which they are taken off a text; what is left is one more.
+CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", r"[.,;:!?]+", GAP, r"[#*$%&|<>]+")
 
 COMMON = 32
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -23,17 +22,13 @@ CLASS_DISTANCE, WORD_DISTANCE = 0.14, 0.14
 CLASS_NOISE, WORD_NOISE = 5.0, 12.0
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
 
 def _looked_up(text: Column) -> Column:
     """Lower-case words of a text without marks."""
-    return _words(F.lower(_without(text, MARKS)))
+    return _words(F.lower(F.regexp_replace(text, MARKS, "")))
 
 
 def _repeated(name: str) -> Column:
@@ -72,28 +67,36 @@ def counted(docs: DataFrame) -> DataFrame:
     rows = once(docs, "found", _words(F.col("text")))
     triple = F.transform(
         F.when(F.size("found") >= 3, F.sequence(F.lit(0), F.size("found") - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get("found", i), F.get("found", i + 1), F.get("found", i + 2)).alias("h"), i.alias("i")),
+        lambda i: F.xxhash64(F.get("found", i), F.get("found", i + 1), F.get("found", i + 2)),
     )
-    rows = once(rows, "windows", F.sort_array(triple))
-    rows = once(rows, "plain", _looked_up(F.col("text")))
-    rows = once(rows, "kinds", F.array(*(F.regexp_count("text", F.lit(kind)) for kind in CLASSES)))
-    text, size = F.col("text"), F.char_length("text")
-    word_chars = F.char_length(_without(text, SPACES))
-    symbols = size - F.char_length(_without(text, SYMBOLS))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(SPACES)) != "")
+    rows = once(rows, "hashes", triple)
+    # Only texts with a repeated window are sorted.
+    windows = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = once(rows, "windows", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), windows).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    # Each class is counted by what taking off its runs takes off; the rest gets short at once.
+    left, rest = [F.char_length("text")], F.col("text")
+    for number, kind in enumerate(CLASSES):
+        rows = once(rows, f"rest{number}", F.regexp_replace(rest, kind, ""))
+        rest = F.col(f"rest{number}")
+        left.append(F.char_length(rest))
+    kinds = [a - b for a, b in zip(left, left[1:], strict=False)]
+    spaces, symbols = kinds[4:]
+    lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line, F.lit(SPACES)) != "")
     rows = once(rows, "lines", lines)
-    rows = once(rows, "known", F.transform(F.coalesce("words", F.array()), lambda w: F.size(F.filter("plain", lambda x: x == w))))
-    total = F.aggregate("kinds", F.lit(0), lambda a, b: a + b)
+    rows = once(rows, "plain", _looked_up(F.col("text")))
+    words = F.coalesce("words", F.array().cast("array<string>"))
+    rows = once(rows, "met", F.filter("plain", lambda w: F.array_contains(words, w)))
+    rows = once(rows, "known", F.transform(words, lambda w: F.size("met") - F.size(F.array_remove("met", w))))
     return rows.select(
         "doc_id",
         "lang",
         F.size("found").cast("long").alias("n_words"),
-        word_chars.cast("long").alias("word_chars"),
+        (left[0] - spaces).cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeated("windows").alias("n_repeat_words"),
-        F.concat("kinds", F.array(size - word_chars, symbols, word_chars - symbols - total)).cast("array<long>").alias("classes"),
-        F.concat("known", F.array(F.size("plain") - F.aggregate("known", F.lit(0), lambda a, b: a + b))).cast("array<long>").alias("hits"),
+        F.array(*kinds, left[-1]).cast("array<long>").alias("classes"),
+        F.concat("known", F.array(F.size("plain") - F.size("met"))).cast("array<long>").alias("hits"),
     )
 
 
@@ -146,7 +149,7 @@ def divergence(
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     counts = stored(counts.withColumn("base_failed", failed), "rule-counts")
     sums = counts.where(~F.col("base_failed")).groupBy("lang")
-    sums = sums.agg(_sums("classes", len(CLASSES) + 3).alias("all_classes"), _sums("hits", common + 1).alias("all_hits"))
+    sums = sums.agg(_sums("classes", len(CLASSES) + 1).alias("all_classes"), _sums("hits", common + 1).alias("all_hits"))
     sums = stored(sums, "language-references")
     rows = counts.alias("l").join(sums.alias("r"), same, "left").select("l.*", "r.all_classes", "r.all_hits")
     rows = rows.withColumn("all_hits", F.slice("all_hits", F.lit(1), F.size("hits")))
