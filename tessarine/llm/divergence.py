@@ -73,6 +73,11 @@ def counted(docs: DataFrame) -> DataFrame:
     # Only texts with a repeated window are sorted.
     windows = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rows = once(rows, "windows", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), windows).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    # What follows copies rows, so the long arrays end here.
+    rows = once(rows, "n_repeat_words", _repeated("windows"))
+    rows = once(rows, "n_words", F.size("found").cast("long"))
+    lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line, F.lit(SPACES)) != "")
+    rows = once(rows, "n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
     # Each class is counted by what taking off its runs takes off; the rest gets short at once.
     left, rest = [F.char_length("text")], F.col("text")
     for number, kind in enumerate(CLASSES):
@@ -81,8 +86,6 @@ def counted(docs: DataFrame) -> DataFrame:
         left.append(F.char_length(rest))
     kinds = [a - b for a, b in zip(left, left[1:], strict=False)]
     spaces, symbols = kinds[4:]
-    lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line, F.lit(SPACES)) != "")
-    rows = once(rows, "lines", lines)
     rows = once(rows, "plain", _looked_up(F.col("text")))
     words = F.coalesce("words", F.array().cast("array<string>"))
     rows = once(rows, "met", F.filter("plain", lambda w: F.array_contains(words, w)))
@@ -90,11 +93,11 @@ def counted(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         "lang",
-        F.size("found").cast("long").alias("n_words"),
+        "n_words",
         (left[0] - spaces).cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeated("windows").alias("n_repeat_words"),
+        "n_dup_lines",
+        "n_repeat_words",
         F.array(*kinds, left[-1]).cast("array<long>").alias("classes"),
         F.concat("known", F.array(F.size("plain") - F.size("met"))).cast("array<long>").alias("hits"),
     )
