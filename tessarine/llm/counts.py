@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +15,7 @@ from tessarine.llm.common import WORD, pieces
 
 MARK = "▁"
 NODES = 1_000_000
+DEPTH = 1_024
 MICRO = 1_000_000
 
 
@@ -38,7 +39,9 @@ class Trie:
     A node stands for a prefix and holds the forward score of its best segmentation (greatest sum of
     piece scores, then fewest tokens), its tokens, and how many of those are bytes. A character always
     may be written as its UTF-8 bytes, each scored one below the worst piece. A new word computes its
-    new nodes only; what stands at its last node is its count.
+    new nodes only; what stands at its last node is its count. A word of over DEPTH characters goes on
+    from its node at that depth with the states of the last `longest` characters, which are dropped
+    again, so no word adds more than DEPTH nodes and the trie holds NODES + DEPTH at most.
     """
 
     def __init__(self, scores: dict[str, int]):
@@ -51,27 +54,36 @@ class Trie:
         self.children: dict[int, int] = {}
         self.best = [(0, 0, 0)]  # score, minus the tokens, bytes
 
+    def _next(self, states: list, word: str, start: int, end: int) -> tuple[int, int, int]:
+        """State of the prefix that ends at `end`, from the states of the prefixes from `start` to `end` - 1."""
+        score, tokens, spelt = states[-1]
+        width = len(word[end - 1].encode("utf-8", "surrogatepass"))
+        found = (score + width * self.byte, tokens - width, spelt + width)
+        for at, (score, tokens, spelt) in enumerate(states, start):
+            own = self.scores.get(word[at:end])
+            if own is not None:
+                found = max(found, (score + own, tokens - 1, spelt))
+        return found
+
     def insert(self, word: str) -> tuple[int, int]:
-        """Tokens and byte tokens of a word."""
+        """Tokens and byte tokens of a word; what follows its first DEPTH characters makes no nodes."""
         if len(self.best) > NODES:
             self.clear()
         children, best, path = self.children, self.best, [0]
-        for end, letter in enumerate(word, 1):
+        for end, letter in enumerate(word[:DEPTH], 1):
             key = path[-1] << 21 | ord(letter)
             node = children.get(key)
             if node is None:
-                score, tokens, spelt = best[path[-1]]
-                width = len(letter.encode("utf-8", "surrogatepass"))
-                found = (score + width * self.byte, tokens - width, spelt + width)
-                for start in range(max(0, end - self.longest), end):
-                    own = self.scores.get(word[start:end])
-                    if own is not None:
-                        score, tokens, spelt = best[path[start]]
-                        found = max(found, (score + own, tokens - 1, spelt))
+                start = max(0, end - self.longest)
+                found = self._next([best[at] for at in path[start:]], word, start, end)
                 node = children[key] = len(best)
                 best.append(found)
             path.append(node)
-        _, tokens, spelt = best[path[-1]]
+        # a piece reaches back `longest` characters at most, so a window of that many states will do
+        recent = deque((best[at] for at in path), maxlen=max(1, self.longest))
+        for end in range(DEPTH + 1, len(word) + 1):
+            recent.append(self._next(list(recent), word, end - len(recent), end))
+        _, tokens, spelt = recent[-1]
         return -tokens, spelt
 
 
@@ -79,7 +91,7 @@ def token_counts(docs: DataFrame, scores: dict[str, int]) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_bytes) of every whole text.
 
     A pre-token is a word with the mark before it. A task inserts the distinct pre-tokens of its
-    texts in one trie, which starts anew at NODES nodes, and adds up the counts by document; no
+    texts in one trie, which starts anew at NODES nodes and takes DEPTH of one word at most, and adds up the counts by document; no
     row leaves its partition. `scores`, bounded by the vocabulary, is broadcast. A null or blank
     text counts 0; repeated rows stay; an empty table gives an empty table; other columns are ignored.
     """

@@ -40,6 +40,25 @@ def test_prefixes_are_computed_once():
     assert len(trie.best) == 1 + 6
 
 
+def test_long_words_leave_few_nodes(monkeypatch):
+    monkeypatch.setattr(counts, "DEPTH", 5)
+    draw, trie = random.Random(8), counts.Trie(SCORES)
+    for size in (1, 4, 5, 6, 7, 30, 400):
+        word = "▁" + "".join(draw.choices("abéx", k=size))
+        before = len(trie.best)
+        assert trie.insert(word) == expected(word, SCORES)
+        assert len(trie.best) <= before + 5
+
+
+def test_a_text_of_many_megabytes_without_spaces(make_docs):
+    text = "".join(random.Random(9).choices("abéx", k=1_000)) * 2_000
+    trie = counts.Trie(SCORES)
+    trie.insert(text)
+    assert len(trie.best) == counts.DEPTH + 1
+    r = counts.token_counts(make_docs([(1, text)]), SCORES).first()
+    assert (r.n_words, r.n_tokens, r.n_bytes) == (1, *trie.insert("▁" + text))
+
+
 def test_documents(make_docs, monkeypatch):
     monkeypatch.setattr(counts, "NODES", 200)
     scores = counts.unigram_scores(public_tokenizers.path("piece_bpe_32k.model"))
