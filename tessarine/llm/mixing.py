@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessarine.llm.common import WORD, once, row_key, stored, word_count
 
 BLOCK_WORDS = 64
+SHARD_BLOCKS = 128
 SHARD_DOCS = 384
 MOST_SHARDS = 65_536
 
@@ -75,12 +76,14 @@ def mix_plan(
 ) -> DataFrame:
     """What a mix takes of each document: (doc_id, row, size, source_size, target, taken, passes, spans).
 
-    Sources get whole blocks of `block_words` words by Sainte-Laguë, and each source's blocks go to
-    its shards the same way by their sizes. A shard holds its documents end to end in seeded order;
-    it takes all its blocks `passes` times and a seeded, evenly spread selection of them once more.
-    `spans` are the word ranges (start, end) the selection takes of the document; `taken` counts its words,
-    repeats included, and never passes twice the size. A source's words are within a block of its
-    quota in each shard. Shards hold about SHARD_DOCS documents, more where that would make over
+    Sources get their words by Sainte-Laguë (equal blocks of one word), and the same number of words in
+    equal blocks of up to `block_words` goes to a source's shards the same way by their blocks. Blocks
+    are such that a shard's part of the target is SHARD_BLOCKS blocks or more, down to single words, so
+    that a small source meets its target as a large one does. A shard holds its documents end to end
+    in seeded order; it takes all its blocks `passes` times and a seeded, evenly spread selection of
+    them once more. `spans` are the word ranges (start, end) the selection takes of the document;
+    `taken` counts its words, repeats included, and never passes twice the size. A shard's words
+    are within two blocks of its part of the target. Shards hold about SHARD_DOCS documents, more where that would make over
     MOST_SHARDS; a source of any size so spreads over many tasks.
 
     Null texts and texts without words have size 0 and are never taken; a null source is a source
@@ -99,26 +102,29 @@ def mix_plan(
     everywhere = Window.partitionBy(F.lit(0))
     shard_docs = F.greatest(F.lit(SHARD_DOCS), F.ceil(F.sum("n").over(everywhere) / MOST_SHARDS))
     sources = targets(sources.withColumn("shards", F.ceil(F.col("n") / shard_docs)), weights, share, ceiling)
-    sources = sources.withColumn("one", F.lit(0)).withColumn("seats", F.round(F.sum("target").over(everywhere) / block_words).cast("long"))
-    sources = apportion(sources, ["one"], "target", "seats", [F.col("source").isNull(), F.col("source")], "quota")
-    sources = stored(sources.select("source", "source_size", "target", "shards", "quota"), "mix-sources")
+    sources = sources.withColumn("one", F.lit(0)).withColumn("seats", F.round(F.sum("target").over(everywhere)).cast("long"))
+    sources = apportion(sources, ["one"], "target", "seats", [F.col("source").isNull(), F.col("source")], "words")
+    block = F.floor(F.col("target") / (F.col("shards") * SHARD_BLOCKS))
+    sources = sources.withColumn("block", F.least(F.greatest(block, F.lit(1)), F.lit(block_words)).cast("long"))
+    sources = stored(sources.select("source", "source_size", "target", "shards", "words", "block"), "mix-sources")
 
     placed = sized.join(sources.select(F.col("source").alias("of"), "shards"), F.col("source").eqNullSafe(F.col("of")), "left")
     place = F.when(F.col("shards") > 0, F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % F.col("shards"))
     placed = stored(placed.withColumn("shard", F.coalesce(place, F.lit(0))).drop("of", "shards"), "mix-placed")
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     shards = shards.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "shards")
-    shards = apportion(shards, ["source"], "shard_size", "quota", [F.col("shard")], "shard_quota")
-    blocks = F.ceil(F.col("shard_size") / block_words).cast("long")
+    shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / F.col("block")).cast("long"))
+    quota = F.try_divide(F.col("words").cast("double"), "source_size") * F.sum("blocks").over(Window.partitionBy("source"))
+    shards = shards.withColumn("quota", F.coalesce(F.round(quota), F.lit(0)).cast("long"))
+    shards = apportion(shards, ["source"], "blocks", "quota", [F.col("shard")], "shard_quota")
     quota = F.least("shard_quota", 2 * F.col("blocks"))
     chosen_by = F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")), F.lit(":"), F.col("shard").cast("string"))
     shards = (
         shards.where("shard_size > 0")
-        .withColumn("blocks", blocks)
         .withColumn("passes", F.expr("0L") + F.floor(quota / F.col("blocks")))
         .withColumn("once", quota - F.col("passes") * F.col("blocks"))
         .withColumn("shift", _number(chosen_by) % F.col("blocks"))
-        .select(F.col("source").alias("of"), F.col("shard").alias("in"), "blocks", "passes", "once", "shift")
+        .select(F.col("source").alias("of"), F.col("shard").alias("in"), "block", "blocks", "passes", "once", "shift")
     )
     lay = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size", "row")
     laid = placed.withColumn("b", F.sum("size").over(lay.rowsBetween(Window.unboundedPreceding, 0))).withColumn("a", F.col("b") - F.col("size"))
@@ -131,7 +137,7 @@ def mix_plan(
     def selected(j: Column) -> Column:
         return chosen_before(j + 1) > chosen_before(j)
 
-    size = F.lit(block_words)
+    size = F.col("block")
     span = F.filter(F.sequence(F.floor(F.col("a") / size), F.floor((F.col("b") - 1) / size)), selected)
     span = F.transform(
         span, lambda j: F.struct((F.greatest(j * size, "a") - F.col("a")).alias("start"), (F.least((j + 1) * size, "b") - F.col("a")).alias("end"))

@@ -63,22 +63,29 @@ levels AS (
     / sum(weight) OVER (ORDER BY stop / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
 targets AS (
   SELECT *, CASE WHEN ratio <= level THEN stop ELSE weight * (SELECT arg_min(level, ratio) FROM levels WHERE ratio > level) END AS target FROM levels),
-seats AS (SELECT *, round(sum(target) OVER () / 64)::BIGINT AS seats FROM targets),
+seats AS (
+  SELECT *, round(sum(target) OVER ())::BIGINT AS seats, target / sum(target) OVER () * round(sum(target) OVER ()) AS fair,
+    least(greatest(floor(target / (shards * 128)), 1), 64)::BIGINT AS block FROM targets),
 quotients AS (
-  SELECT source, target / (2 * k + 1) AS quotient, k, seats
-  FROM seats, range((SELECT max(seats) FROM seats)) AS r(k) WHERE k <= target / 64 + 30 AND target > 0),
-quotas AS (
-  SELECT source, count(*) AS quota FROM (
-    SELECT *, row_number() OVER (ORDER BY quotient DESC, source IS NULL, source, k) AS turn FROM quotients) WHERE turn <= seats GROUP BY source),
+  SELECT source, target / (2 * k + 1) AS quotient, k, seats FROM (
+    SELECT *, unnest(range(greatest(0, floor(fair) - 30)::BIGINT, ceil(fair)::BIGINT + 30)) AS k FROM seats WHERE target > 0)),
+source_low AS (SELECT source, min(k) AS low FROM quotients GROUP BY source),
+won AS (
+  SELECT source, count(*) AS won FROM (
+    SELECT *, row_number() OVER (ORDER BY quotient DESC, source IS NULL, source, k) AS turn FROM quotients)
+  WHERE turn <= seats - (SELECT sum(low) FROM source_low) GROUP BY source),
+quotas AS (SELECT l.source, low + coalesce(won, 0) AS words FROM source_low l LEFT JOIN won w ON l.source IS NOT DISTINCT FROM w.source),
 placed AS (
-  SELECT d.*, t.source_size, t.target, coalesce(q.quota, 0) AS quota, ('0x' || substr(draw, 1, 8))::BIGINT % t.shards AS shard
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source),
+  SELECT d.*, t.source_size, t.target, coalesce(q.words, 0) AS words, t.block, ('0x' || substr(draw, 1, 8))::BIGINT % t.shards AS shard
+  FROM sized d JOIN seats t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source),
 shards AS (
-  SELECT source, shard, sum(size)::BIGINT AS shard_size, max(quota) AS quota, max(source_size) AS source_size FROM placed GROUP BY source, shard HAVING sum(size) > 0),
+  SELECT *, round(words::DOUBLE / source_size * sum(blocks) OVER (PARTITION BY source))::BIGINT AS quota,
+    blocks / sum(blocks) OVER (PARTITION BY source) AS part FROM (
+    SELECT source, shard, max(block) AS block, max(words) AS words, max(source_size) AS source_size, ceil(sum(size) / max(block))::BIGINT AS blocks
+    FROM placed GROUP BY source, shard HAVING sum(size) > 0)),
 shard_quotients AS (
-  SELECT source, shard, quota, shard_size / (2 * k + 1) AS quotient, k
-  FROM shards, range((SELECT max(quota) + 1 FROM shards)) AS r(k)
-  WHERE k <= shard_size / source_size * quota + 30 AND k >= shard_size / source_size * quota - 30),
+  SELECT source, shard, quota, blocks / (2 * k + 1) AS quotient, k FROM (
+    SELECT *, unnest(range(greatest(0, floor(part * quota) - 30)::BIGINT, ceil(part * quota)::BIGINT + 30)) AS k FROM shards)),
 shard_low AS (
   SELECT source, shard, min(k) AS low FROM shard_quotients GROUP BY source, shard),
 shard_open AS (
@@ -88,8 +95,7 @@ shard_won AS (
     SELECT q.*, row_number() OVER (PARTITION BY q.source ORDER BY quotient DESC, shard, k) AS turn, given
     FROM shard_quotients q JOIN shard_open o ON q.source IS NOT DISTINCT FROM o.source) WHERE turn <= quota - given GROUP BY source, shard),
 shard_quotas AS (
-  SELECT s.*, ceil(shard_size / 64)::BIGINT AS blocks,
-    least(low + coalesce(won, 0), 2 * ceil(shard_size / 64)::BIGINT)::BIGINT AS given
+  SELECT s.*, least(low + coalesce(won, 0), 2 * blocks)::BIGINT AS given
   FROM shards s JOIN shard_low l ON s.source IS NOT DISTINCT FROM l.source AND s.shard = l.shard
   LEFT JOIN shard_won w ON s.source IS NOT DISTINCT FROM w.source AND s.shard = w.shard),
 laid AS (
@@ -99,9 +105,9 @@ spread AS (
     ('0x' || substr(md5('7:' || coalesce(l.source, '') || ':' || l.shard), 1, 8))::BIGINT % blocks AS shift
   FROM laid l LEFT JOIN shard_quotas q ON l.source IS NOT DISTINCT FROM q.source AND l.shard = q.shard)
 SELECT doc_id, size, source_size, target, (coalesce(passes, 0) * size + coalesce(list_sum(list_transform(
-    list_filter(range(a // 64, CASE WHEN size > 0 THEN (b - 1) // 64 + 1 ELSE a // 64 END),
+    list_filter(range(a // block, CASE WHEN size > 0 THEN (b - 1) // block + 1 ELSE a // block END),
       lambda j: ((j + 1) * once + shift) // blocks > (j * once + shift) // blocks),
-    lambda j: least((j + 1) * 64, b) - greatest(j * 64, a))), 0))::BIGINT AS taken FROM spread
+    lambda j: least((j + 1) * block, b) - greatest(j * block, a))), 0))::BIGINT AS taken FROM spread
 """
 
 
@@ -169,7 +175,11 @@ windows AS (
 later AS (
   SELECT doc_id, s FROM (
     SELECT *, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, s) AS turn FROM windows) WHERE turn > 1),
-gone AS (SELECT DISTINCT doc_id, s + k AS s FROM later, (VALUES (0), (1)) AS v(k)),
+later_long AS (
+  SELECT doc_id, s FROM (
+    SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, s) AS turn FROM full_lines
+    WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 50) WHERE turn > 1),
+gone AS (SELECT doc_id, s + k AS s FROM later, (VALUES (0), (1)) AS v(k) UNION SELECT doc_id, s FROM later_long),
 gone_at AS (SELECT f.doc_id, f.pos FROM full_lines f JOIN gone g ON f.doc_id = g.doc_id AND f.s = g.s)
 SELECT e.doc_id, (SELECT count(*) FROM full_lines f WHERE f.doc_id = e.doc_id)::INTEGER AS lines,
   count(g.pos)::INTEGER AS deleted, md5(coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY e.pos), '')) AS text_md5
@@ -179,7 +189,7 @@ FROM every e LEFT JOIN gone_at g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP
 
 @query("op2_lines", LINES_SQL)
 def op2_lines(spark: SparkSession, sf: str) -> DataFrame:
-    cut = lines.drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"), long_words=None)  # as LINES_SQL
+    cut = lines.drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "lines", "deleted", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
