@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from tessarine import fixed_values as V
 from tessarine.operators.ordered import with_buckets
 from tessarine.session import materialize
+from tessarine.streaming.in_order import InOrder, fold_in_order
 
 _OUT = "identity string, slice int, event_id long, at double, admitted boolean, kept array<double>"
 SLICES = 32
@@ -103,36 +103,29 @@ def admission_limit(
     return done.select("identity", "event_id", "admitted")
 
 
-class AdmissionProcessor(StatefulProcessor):
-    """Streaming form: the admitted times of an identity live in one value state."""
+class AdmissionProcessor(InOrder):
+    """Streaming form: the admitted times (microseconds) of an identity, forgotten a window after its last event."""
 
-    def __init__(self, window_seconds: float, limit: int) -> None:
-        self.window, self.limit = window_seconds, limit
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("admitted", "times array<double>")
+    key = "identity"
+    fields = {"at": "long", "event_id": "long"}
+    state_schema = "times array<long>"
+    output = {"identity": "string", "event_id": "long", "admitted": "boolean"}
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"])
-        held = deque(self.state.get()[0] if self.state.exists() else ())
-        flags = decide(batch["at"].tolist(), held, self.window, self.limit)
-        self.state.update((list(held),))
-        yield pd.DataFrame({"identity": batch["identity"], "event_id": batch["event_id"], "admitted": flags})
+    def __init__(self, window_seconds: float, limit: int) -> None:
+        super().__init__(window_seconds)  # an identity idle for a window holds nothing any more
+        self.limit = limit
 
-    def close(self) -> None:
-        pass
+    def step(self, name, state, row):
+        held = deque(state[0] if state is not None else ())
+        (admitted,) = decide([row.at], held, self.idle, self.limit)
+        return (list(held),), (name, row.event_id, admitted)
 
 
 def admission_stream(
     events: DataFrame,
     window_seconds: float = V.ADMISSION_WINDOW_SECONDS,
     limit: int = V.SESSIONS_PER_WINDOW,
+    lateness: str = "0 seconds",
 ) -> DataFrame:
-    """The same decision on a stream of (identity, event_id, ts), for events in time order."""
-    timed = events.select("identity", "event_id", F.col("ts").cast("double").alias("at"))
-    return timed.groupBy("identity").transformWithStateInPandas(
-        statefulProcessor=AdmissionProcessor(window_seconds, limit),
-        outputStructType="identity string, event_id long, admitted boolean",
-        outputMode="Append",
-        timeMode="None",
-    )
+    """The same decision on a stream of (identity, event_id, ts), in any order within `lateness`."""
+    return fold_in_order(events, AdmissionProcessor(window_seconds, limit), lateness)

@@ -34,30 +34,28 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def answer_committed(
-    events: DataFrame, requests: DataFrame, answer: Callable[[DataFrame], DataFrame], name: str
+    events: DataFrame, requests: DataFrame, answer: Callable[[DataFrame], DataFrame], name: str, once_within: str = "1 day"
 ) -> DataFrame:
     """Committed transcripts only reach the answer flow; partials never do.
 
-    Each micro-batch joins its committed events with the request table and appends the
-    answers to its own folder, so a repeated batch overwrites instead of doubling. Ids asked in
-    earlier batches are passed over, so a request committed again is answered once.
+    `events` has request_id, event and ts. A request committed again within `once_within` of event time
+    is answered once: Spark keeps the ids of that span and drops them as the watermark passes, so
+    neither the state nor a batch grows with all ids ever asked; a later repeat is a new question. Commits later than that behind
+    the newest are dropped. Each micro-batch joins its ids with the request table and
+    writes its own folder, so a repeated batch overwrites instead of doubling.
     """
     spark: SparkSession = events.sparkSession
     path = shared_folder(spark, name)
-    empty = answer(requests.limit(0))
-    empty.write.parquet(f"{path}/out/batch=-1")
-    requests.select("request_id").limit(0).write.parquet(f"{path}/asked/batch=-1")
+    answer(requests.limit(0)).write.parquet(f"{path}/out/batch=-1")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(f"{path}/asked").where(F.col("batch") < batch_id)
-        committed = batch.filter("event = 'committed'").select("request_id").distinct()
-        asked = requests.join(committed, "request_id", "left_semi").join(before, "request_id", "left_anti")
-        asked.select("request_id").write.mode("overwrite").parquet(f"{path}/asked/batch={batch_id}")
-        now = spark.read.parquet(f"{path}/asked").where(F.col("batch") == batch_id)
-        answer(requests.join(now, "request_id", "left_semi")).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        asked = requests.join(batch.select("request_id"), "request_id", "left_semi")
+        answer(asked).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
+    committed = events.where(F.col("event") == "committed").select("request_id", "ts").withWatermark("ts", once_within)
     query = (
-        events.writeStream.foreachBatch(run)
+        committed.dropDuplicatesWithinWatermark(["request_id"])
+        .writeStream.foreachBatch(run)
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
         .start()
