@@ -130,16 +130,20 @@ def prefix_candidates_block(
     request_tile: int = REQUEST_TILE,
     chunk_rows: int | None = None,
     request_rows: int | None = None,
+    deepest: int | None = None,
 ) -> DataFrame:
     """Exact stage 1: (request_id, chunk_id, mrl_score, mrl_rank) with rank <= k.
 
     Chunk vectors travel once per request block (one block up to 65,536 requests)
     and request vectors once per chunk block; neither passes the driver.  Row counts
-    (upper bounds will do) are taken from the caller if known, else counted.
+    and the greatest k, `deepest` (upper bounds will do), are taken from the caller if known, else counted.
     """
     cores = chunks.sparkSession.sparkContext.defaultParallelism
     chunk_rows = chunks.count() if chunk_rows is None else chunk_rows
-    request_rows = requests.count() if request_rows is None else request_rows
+    if request_rows is None or deepest is None:
+        rows, most = requests.agg(F.count(F.lit(1)), F.max(k)).first()
+        request_rows = rows if request_rows is None else request_rows
+        deepest = (most or 0) if deepest is None else deepest
     chunk_blocks = _blocks(chunk_rows, chunk_tile, cores)
     request_blocks = max(1, math.ceil(request_rows / request_tile))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
@@ -157,21 +161,23 @@ def prefix_candidates_block(
         block("chunk_id", chunk_blocks).cast("int").alias("c"),
         all_of(request_blocks).alias("q"),
     )
-    return top_k(best_in_tiles(left, right, ["q", "c"]))
+    return top_k(best_in_tiles(left, right, ["q", "c"]), deepest)
 
 
-def top_k(hits: DataFrame) -> DataFrame:
-    """Merge local winners: best `k` per request by score, then chunk id.
+def top_k(hits: DataFrame, deepest: int) -> DataFrame:
+    """Merge local winners by levels: best `k` per request by score, then chunk id.
 
-    The rows stay distributed by request for the rerank that follows.
+    `deepest` is no less than any `k`. As a literal it lets Spark cut the winners of a task's tiles to
+    `deepest` rows per request before the shuffle (up to its own threshold for such limits), and merge
+    only those by request. The result is spread by request for the rerank that follows.
     """
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), "chunk_id")
-    return (
-        spread_by(hits, "request_id")
-        .withColumn("mrl_rank", F.row_number().over(order))
-        .filter("mrl_rank <= k")
+    best = (
+        hits.withColumn("mrl_rank", F.row_number().over(order))
+        .filter((F.col("mrl_rank") <= F.lit(deepest)) & (F.col("mrl_rank") <= F.col("k")))
         .select("request_id", "chunk_id", F.col("score").alias("mrl_score"), "mrl_rank")
     )
+    return spread_by(best, "request_id")
 
 
 def top_k_of_scores(scored: DataFrame, k: int) -> DataFrame:
@@ -374,4 +380,5 @@ def ann_candidates(
         F.pmod(F.xxhash64("chunk_id"), "cs").cast("int").alias("c"),
         F.explode(F.expr("sequence(0, qs - 1)")).alias("q"),
     )
-    return top_k(best_in_tiles(left, right, ["cell", "q", "c"]))
+    deepest = requests.agg(F.max("candidate_k")).first()[0] or 0
+    return top_k(best_in_tiles(left, right, ["cell", "q", "c"]), deepest)

@@ -112,7 +112,8 @@ def answer_batch(
     checked = G.input_safety(requests)
     safe = checked.filter("is_safe")
     rows = chunks.count()
-    evidence = retrieve_evidence(safe, chunks, chunk_rows=rows, request_rows=requests.count())
+    asked, deepest = requests.agg(F.count(F.lit(1)), F.max("candidate_k")).first()
+    evidence = retrieve_evidence(safe, chunks, chunk_rows=rows, request_rows=asked, deepest=deepest or 0)
     selected = select_answers(G.assess_relevance(evidence, scope_terms))
     routed = A.hybrid_routing(selected, fallback)
     contract = G.citation_contract(

@@ -34,17 +34,32 @@ def test_tiles_of_any_size_give_the_brute_force_order(spark, tables):
         assert {(r.request_id, r.chunk_id, r.mrl_rank) for r in got} == expected
 
 
-def test_three_vectors_rank_and_duplicates_are_found(spark):
-    rows = [("chunk-0", [1.0, 0.0, 0.0, 0.0]), ("chunk-1", [0.8, 0.6, 0.0, 0.0]), ("chunk-2", [0.0, 0.0, 1.0, 0.0]), ("zero", [0.0] * 4)]
+def test_each_request_has_its_own_depth_and_tasks_cut_before_the_shuffle(spark, tables):
+    requests, chunks = tables
+    requests = requests.withColumn("candidate_k", F.pmod(F.xxhash64("request_id"), F.lit(9)).cast("int"))
+    found = K.prefix_candidates_block(requests, chunks, chunk_tile=41, request_tile=13)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    first_limit = physical.rindex("WindowGroupLimit")  # plans print from the top
+    assert "Exchange hashpartitioning(request_id" in physical[:first_limit] and "FlatMapCoGroups" in physical[first_limit:]
+    exact = K.prefix_candidates_block(requests.withColumn("candidate_k", F.lit(9)), chunks)
+    wanted = exact.join(requests.select("request_id", "candidate_k"), "request_id").filter("mrl_rank <= candidate_k")
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in wanted.drop("candidate_k").collect()}
+
+
+def test_rerank_by_the_whole_vector_and_bad_rows_are_found(spark):
+    rows = [("east", [0.6, 0.0, 0.8, 0.0]), ("north", [0.5, 0.5, 0.5, 0.5]), ("tail", [0.0, 0.0, 0.3, 0.4]), ("none", [0.0] * 4), ("short", [1.0, 2.0])]
     raw = spark.createDataFrame(rows, "chunk_id string, vector array<float>")
     chunks = K.build_vector_table(raw, 2, 4)
-    assert {r.chunk_id for r in K.unusable_vectors(raw, 2, 4).collect()} == {"chunk-2", "zero"}
-    query = spark.createDataFrame([("q", [1.0, 0.0, 0.0, 0.0], [1.0, 0.0])], "request_id string, full array<float>, prefix array<float>")
-    asked = query.withColumn("candidate_k", F.lit(2)).withColumn("final_k", F.lit(2))
-    got = [(r.rank, r.chunk_id) for r in K.two_stage_retrieve(asked, chunks).orderBy("rank").collect()]
-    assert got == [(1, "chunk-0"), (2, "chunk-1")]
-    assert K.repeated_ids(raw.union(raw.limit(1))).count() == 1
-    assert K.repeated_ids(raw, chunks.filter("chunk_id = 'chunk-0'")).first().problem == "already_indexed"
+    assert {r.chunk_id for r in K.unusable_vectors(raw, 2, 4).collect()} == {"tail", "none", "short"}
+    query = spark.createDataFrame([("ask", [0.5, 0.4, 0.1, 0.7], [1.0, 0.0])], "request_id string, full array<float>, prefix array<float>")
+    asked = query.withColumn("candidate_k", F.lit(5)).withColumn("final_k", F.lit(5))
+    got = K.two_stage_retrieve(asked, chunks).orderBy("rank").collect()
+    # the prefix prefers east, the whole vector north
+    assert [(r.chunk_id, r.mrl_rank) for r in got] == [("north", 2), ("east", 1)]
+    assert [r.problem for r in K.repeated_ids(raw.union(raw.where("chunk_id = 'tail'"))).collect()] == ["repeated_in_batch"]
+    assert K.repeated_ids(raw, chunks.filter("chunk_id = 'north'")).first().problem == "already_indexed"
     with pytest.raises(ValueError):
         K.build_vector_table(raw, 4, 4)
 
