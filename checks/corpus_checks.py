@@ -655,3 +655,36 @@ def observed_schema(spark, sf):
     events = X.table(spark, sf, "events").select("event_type", "props")
     broken = events.select("event_type", F.concat(F.lit("{"), "props").alias("props"))
     return P.observed_schema(events.unionAll(broken), "props", ["event_type"])
+
+
+CTES["fx_records"] = """
+SELECT event_type, CASE WHEN event_id % 11 = 0 THEN '[' || event_id || ', "x"]' WHEN event_id % 97 = 0 THEN '{"cut' ELSE concat('{"id":', event_id, ',"at.day":null,"tags":[null,',
+  CASE event_id % 4 WHEN 0 THEN '"a {\\" [[["' WHEN 1 THEN '1.5' WHEN 2 THEN 'true' ELSE 'null' END, '],"body":', props, ',"deep":{"lists":[[{"v":', CASE WHEN event_id % 5 = 0 THEN '1e3' ELSE '{}' END, '}]],"x y":7}}') END AS record FROM events"""
+
+CTES["fx_walk"] = """/*recursive*/
+SELECT event_type, '' AS path, record::JSON AS j FROM fx_records WHERE json_valid(record)
+UNION ALL
+SELECT event_type, u.p, u.v FROM (SELECT event_type, unnest(CASE json_type(j)
+  WHEN 'OBJECT' THEN list_transform(json_keys(j), lambda k: {'p': CASE WHEN path = '' THEN k ELSE path || '.' || k END, 'v': json_extract(j, '$."' || k || '"')})
+  WHEN 'ARRAY' THEN list_transform(list_filter(json_extract(j, '$[*]'), lambda v: json_type(v) <> 'NULL')[1:1], lambda v: {'p': path || '[]', 'v': v}) END) AS u FROM fx_walk)"""
+
+
+def record_texts(events):
+    n = F.col("event_id")
+    tag = F.when(n % 4 == 0, '"a {\\" [[["').when(n % 4 == 1, "1.5").when(n % 4 == 2, "true").otherwise("null")
+    v = F.when(n % 5 == 0, "1e3").otherwise("{}")
+    whole = F.concat(
+        F.lit('{"id":'), n, F.lit(',"at.day":null,"tags":[null,'), tag, F.lit('],"body":'), "props", F.lit(',"deep":{"lists":[[{"v":'), v, F.lit('}]],"x y":7}}')
+    )
+    record = F.when(n % 11 == 0, F.concat(F.lit("["), n, F.lit(', "x"]'))).when(n % 97 == 0, '{"cut').otherwise(whole)
+    return events.select("event_type", record.alias("record"))
+
+
+@query(
+    "schema_paths",
+    """SELECT event_type, CASE WHEN path = '' THEN '$' ELSE path END AS path, list_sort(list_distinct(list(CASE json_type(j) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'str'
+      WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'NoneType' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END))) AS types FROM fx_walk GROUP BY ALL""",
+)
+def schema_paths(spark, sf):
+    """Events as records with lists, nested members, a list as root and rows that are not JSON."""
+    return P.schema_paths(record_texts(X.table(spark, sf, "events")), "record", ["event_type"])

@@ -220,3 +220,70 @@ def observed_schema(df: DataFrame, column: str, keys: list[str] | None = None) -
     return parsed.groupBy(*(keys or [])).agg(
         F.schema_of_variant_agg("_parsed").alias("observed"), F.sum(bad.cast("long")).alias("malformed")
     )
+
+
+def _json_depth(text: Column) -> Column:
+    """How deep objects and lists stand in each other; what is inside strings does not count."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def walk(acc: Column, mark: Column) -> Column:
+        now = acc["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, walk)["most"]
+
+
+def _json_type(value: Column) -> Column:
+    """Type of a variant: object, array, str, int, float, bool or NoneType.
+
+    Numbers with a point or exponent arrive as doubles or decimals without closing zeros; whole
+    numbers arrive as long, and as decimals of 19 digits or more beyond it.
+    """
+    kind = F.schema_of_variant(value)
+    digits = F.regexp_extract(kind, r"^DECIMAL\((\d+),0\)$", 1)
+    return (
+        F.when(kind.startswith("OBJECT"), "object")
+        .when(kind.startswith("ARRAY"), "array")
+        .when(kind == "STRING", "str")
+        .when(kind == "BOOLEAN", "bool")
+        .when(kind == "VOID", "NoneType")
+        .when(kind == "BIGINT", "int")
+        .when((digits != "") & (F.try_to_number(digits, F.lit("99")) >= 19), "int")
+        .otherwise("float")
+    )
+
+
+def schema_paths(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, path, types): every path met in a JSON column and the sorted set of types met there.
+
+    The root is `$`, members are joined by dots, a list's items are `path[]`; of a list its first item
+    that is not null is looked at, as in the records' profile. The text is walked level by level, as deep as its
+    deepest row, and each level shrinks to its distinct (path, type) pairs before a shuffle. Rows that
+    are not JSON, and nulls, are passed over (`observed_schema` counts them).
+    """
+    by = keys or []
+    rows = df.select(*by, F.col(column).alias("_text"), F.try_parse_json(column).alias("_v")).where("_v is not null")
+    deepest = rows.agg(F.max(_json_depth(F.col("_text")))).first()[0] or 0
+    level = rows.select(*by, F.lit("").alias("_path"), "_v")
+    member = F.when(F.col("_path") == "", F.lit("")).otherwise(F.concat("_path", F.lit(".")))
+    members = F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>"))
+    items = F.filter(F.try_variant_get("_v", "$", "array<variant>"), lambda v: ~F.is_variant_null(v))
+    inside = F.when(
+        F.col("_type") == "object",
+        F.transform(members, lambda e: F.struct(F.concat(member, e["key"]).alias("_path"), e["value"].alias("_v"))),
+    ).when(
+        (F.col("_type") == "array") & (F.size(items) > 0),
+        F.array(F.struct(F.concat("_path", F.lit("[]")).alias("_path"), F.get(items, 0).alias("_v"))),
+    )
+    found = None
+    for at in range(deepest + 1):
+        typed = level.withColumn("_type", _json_type(F.col("_v")))
+        met = typed.groupBy(*by, "_path").agg(F.collect_set("_type").alias("_types"))
+        found = met if found is None else found.unionByName(met)
+        if at < deepest:
+            level = typed.select(*by, F.inline(inside))
+    path = F.when(F.col("_path") == "", "$").otherwise(F.col("_path")).alias("path")
+    # A member whose name holds a dot may have the path of a deeper one.
+    return found.groupBy(*by, path).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_types")))).alias("types"))

@@ -105,3 +105,34 @@ def test_artifacts_and_report(spark):
     spark.range(10).write.parquet(path)
     sizes = corpus.artifact_sizes(spark, path).collect()
     assert len(sizes) > 0 and all(v > 0 for r in sizes for v in r if isinstance(v, int))
+
+
+def walk_types(value, path, found):
+    kind = {dict: "object", list: "array"}.get(type(value), type(value).__name__)
+    found.add((path or "$", kind))
+    if kind == "object":
+        for key, child in value.items():
+            walk_types(child, f"{path}.{key}" if path else key, found)
+    if kind == "array":
+        for child in [x for x in value if x is not None][:1]:
+            walk_types(child, path + "[]", found)
+
+
+def test_schema_paths_equal_a_plain_walk(spark):
+    import json
+
+    texts = [
+        '{"a": 1, "b": [null, {"c": "x"}], "d": {"e": {"f": [[1.5, "no"]]}}}', '{"a": "1", "b": [], "d": null, "d.e": 3}', '{"a": 12345678901234567890, "g": 5.0, "h": 100.0}',
+        '[null, null, true]', '"only { text"', "null", "7", '{"q": "\\\\\\" [[[[ {"}', '{"a": 1e400000', "", None, "{}", '{"a": -0.001, "g": 1e5}',
+    ]
+    found = set()
+    for text in texts:
+        try:
+            walk_types(json.loads(text or "?"), "", found)
+        except ValueError:
+            pass
+    df = spark.createDataFrame([(t,) for t in texts], "record string")
+    got = P.schema_paths(df, "record").collect()
+    assert {(r.path, t) for r in got for t in r.types} == found
+    assert all(r.types == sorted(set(r.types)) for r in got)
+    assert P.schema_paths(df.limit(0), "record").count() == 0
