@@ -35,7 +35,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, long_words: int | None
     hashes = F.transform("__places", lambda i: F.xxhash64(F.trim(F.get("__lines", i), F.lit(SPACES))))
     long = F.transform("__places", lambda i: F.regexp_count(F.get("__lines", i), F.lit(WORD)) >= (long_words or 0))
     held = once(_with_lines(rows), "h", hashes)
-    held = held.select("doc_id", "mark", "h", *([] if long_words is None else [long.alias("long")]))
+    held = held if long_words is None else once(held, "long", long)
+    held = held.select("doc_id", "mark", "h", *([] if long_words is None else ["long"]))
 
     def window_at(s: Column) -> Column:
         own = F.slice("h", s + 1, window)
