@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,29 @@ def test_language_filter_comes_before_the_cut(spark):
     assert [r.chunk_id for r in R.language_filter(asked).collect()] == ["hi1"]
     free = hits.withColumn("language_code", F.lit(None).cast("string")).withColumn("final_k", F.lit(2))
     assert [r.chunk_id for r in R.language_filter(free).orderBy("rank").collect()] == ["en1", "en2"]
+
+
+def test_small_tiles_move_no_vector_more_often(spark, tables, monkeypatch):
+    requests, chunks = tables
+    wanted = {tuple(r) for r in K.prefix_candidates_block(requests, chunks).collect()}
+    moved, search = [], K.best_in_tiles
+    monkeypatch.setattr(K, "best_in_tiles", lambda left, right, *rest: moved.extend([left.count(), right.count()]) or search(left, right, *rest))
+    found = K.prefix_candidates_block(requests, chunks, chunk_tile=3, request_tile=2)
+    assert moved[0] <= 4 * 40 and moved[1] <= 4 * 300
+    assert {tuple(r) for r in found.collect()} == wanted
+
+
+def test_a_block_of_copies_returns_no_more_than_the_depth():
+    rng = np.random.default_rng(3)
+    vectors = np.repeat(rng.normal(size=(3, 8)).astype(np.float32), 700, axis=0)
+    vectors /= np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    ids = [f"c{i:05d}" for i in rng.permutation(len(vectors))]
+    chunks = pa.table({"chunk_id": ids, "vector": vectors.tolist()}, schema=pa.schema([("chunk_id", pa.string()), ("vector", pa.list_(pa.float32()))]))
+    asked = pa.table({"request_id": [f"r{i}" for i in range(1200)], "vector": vectors[:1200].tolist(), "k": [i % 4 for i in range(1200)]},
+                     schema=pa.schema([("request_id", pa.string()), ("vector", pa.list_(pa.float32())), ("k", pa.int32())]))
+    got = K._block_best(asked, chunks, K.REQUEST_TILE, K.CHUNK_TILE).to_pandas()
+    assert len(got) == sum(i % 4 for i in range(1200))
+    exact = np.round(vectors.astype(float) @ vectors.astype(float).T, 9)
+    for i in (3, 702, 1199):
+        wanted = sorted(range(len(ids)), key=lambda j: (-exact[i, j], ids[j]))[: i % 4]
+        assert got[got.request_id == f"r{i}"].chunk_id.tolist() == [ids[j] for j in wanted]
