@@ -101,3 +101,29 @@ def test_masked_mean_of_nothing_is_zero(spark):
     tokens = spark.createDataFrame([("a", [3.0, 4.0], 1), ("a", [9.0, 9.0], 0), ("b", [1.0, 1.0], 0)], "document_id string, vector array<float>, mask int")
     got = {r.document_id: r.vector for r in C.mean_pool_masked(tokens).collect()}
     assert [round(x, 6) for x in got["a"]] == [0.6, 0.8] and got["b"] == [0.0, 0.0]
+
+
+def test_tokens_dealt_by_block_are_pooled_where_they_are(spark):
+    rows = [("long", i, i % 5) for i in range(1200)] + [("short", 0, 2), ("other", 0, 5)]
+    dealt = C.by_block(spark.createDataFrame(rows, "document_id string, pos int, bank int"))
+    bank = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(5)] + [(5, [1.0, 2.0])], "bank int, vector array<float>")
+    tokens = dealt.join(F.broadcast(bank), "bank")
+    cuts = [("long", 0, 0, 511), ("long", 1, 500, 1030), ("long", 2, 1024, 1200), ("short", 0, 0, 1), ("other", 0, 0, 1)]
+    spans = spark.createDataFrame(cuts, "document_id string, span int, first_token int, last_token int")
+    spans = spans.hint("merge")
+    pooled = C.late_pool(tokens, spans, width=3)
+    got = {(r.document_id, r.span): (r.token_count, list(r.vector)) for r in pooled.collect()}
+    assert set(got) == {(d, s) for d, s, _, _ in cuts[:4]}
+    for document, span, first, last in cuts[:4]:
+        values = [b for d, pos, b in rows if d == document and first <= pos < last]
+        mean = [1.0, sum(values) / len(values), 0.5]
+        size = sum(x * x for x in mean) ** 0.5
+        assert got[document, span][0] == last - first
+        assert all(abs(a - x / size) < 1e-6 for a, x in zip(got[document, span][1], mean))
+    plain = C.late_pool(tokens.filter("document_id <> 'other'").drop("block"), spans)
+    assert {(r.document_id, r.span, r.token_count) for r in plain.collect()} == {(*k, n) for k, (n, _) in got.items()}
+    plan = pooled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    # the vectors join after the tokens were dealt out, and are not dealt out again before they are summed
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.index("HashAggregate") < plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")
+    between = plan[plan.index("SortMergeJoin") : plan.index("BroadcastHashJoin")]
+    assert "Exchange hashpartitioning" not in between
