@@ -80,3 +80,24 @@ def test_documents(make_docs, monkeypatch):
 
 def test_empty_table(make_docs):
     assert counts.token_counts(make_docs([]), SCORES).count() == 0
+
+
+def test_words_met_again_do_not_walk_the_trie():
+    walked, trie = [], counts.Trie(SCORES)
+    plain = trie.insert
+    trie.insert = lambda word: walked.append(word) or plain(word)
+    known = counts.KnownWords(trie)
+    for _ in range(2):
+        known.learn({b"ab", b"abx", "é".encode(), b"x" * 500})
+    assert sorted(walked) == sorted(["▁ab", "▁abx", "▁é", "▁" + "x" * 500, "▁" + "x" * 500])
+    for word in ("ab", "abx", "é", "x" * 500):
+        assert divmod(known[word.encode()], 1 << 32) == expected("▁" + word, SCORES)
+
+
+def test_known_words_start_anew(monkeypatch):
+    monkeypatch.setattr(counts, "KNOWN_WORDS", 3)
+    draw = random.Random(4)
+    known, words = counts.KnownWords(counts.Trie(SCORES)), ["".join(draw.choices("abéx", k=5)) for _ in range(60)]
+    known.learn({w.encode() for w in words})
+    assert len(known) <= 3
+    assert all(divmod(known[w.encode()], 1 << 32) == expected("▁" + w, SCORES) for w in words)
