@@ -23,12 +23,12 @@ CLASS_NOISE, WORD_NOISE = 5.0, 12.0
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, GAP), lambda w: w != "")
+    return F.array_remove(F.split(text, GAP), "")
 
 
-def _looked_up(text: Column) -> Column:
-    """Lower-case words of a text without marks."""
-    return _words(F.lower(F.regexp_replace(text, MARKS, "")))
+def _bare(text: Column) -> Column:
+    """A text in lower case without marks, as its words are looked up."""
+    return F.lower(F.regexp_replace(text, MARKS, ""))
 
 
 def _repeated(name: str) -> Column:
@@ -52,7 +52,8 @@ def common_words(docs: DataFrame, common: int = COMMON) -> DataFrame:
     Words are counted per language before the shuffle, and each task hands on only its `common` best, so a
     language with most of the words is not sorted in one task.
     """
-    words = docs.select("lang", F.explode(_looked_up(F.col("text"))).alias("word")).groupBy("lang", "word").count()
+    words = docs.select("lang", F.explode(F.split(_bare(F.col("text")), GAP)).alias("word")).where("word <> ''")
+    words = words.groupBy("lang", "word").count()
     best = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     top = words.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= common)
     return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "word"))), lambda x: x["word"]).alias("words"))
@@ -65,10 +66,9 @@ def counted(docs: DataFrame) -> DataFrame:
     `hits` how often each common word occurs, and all other words.
     """
     rows = once(docs, "found", _words(F.col("text")))
-    triple = F.transform(
-        F.when(F.size("found") >= 3, F.sequence(F.lit(0), F.size("found") - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.xxhash64(F.get("found", i), F.get("found", i + 1), F.get("found", i + 2)),
-    )
+    # The last two places have no window.
+    triple = F.transform("found", lambda w, i: F.xxhash64(w, F.get("found", i + 1), F.get("found", i + 2)))
+    triple = F.slice(triple, F.lit(1), F.greatest(F.size("found") - 2, F.lit(0)))
     rows = once(rows, "hashes", triple)
     # Only texts with a repeated window are sorted.
     windows = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -86,10 +86,13 @@ def counted(docs: DataFrame) -> DataFrame:
         left.append(F.char_length(rest))
     kinds = [a - b for a, b in zip(left, left[1:], strict=False)]
     spaces, symbols = kinds[4:]
-    rows = once(rows, "plain", _looked_up(F.col("text")))
+    rows = once(rows, "plain", _words(_bare(F.col("text"))))
     words = F.coalesce("words", F.array().cast("array<string>"))
-    rows = once(rows, "met", F.filter("plain", lambda w: F.array_contains(words, w)))
-    rows = once(rows, "known", F.transform(words, lambda w: F.size("met") - F.size(F.array_remove("met", w))))
+    # Places in the list of common words, which hold no commas: `_bare` takes these off.
+    rows = once(rows, "listed", F.array_join(words, ","))
+    places = F.transform("plain", lambda w: F.find_in_set(w, F.col("listed")))
+    rows = once(rows, "met", F.filter(places, lambda i: i > 0))
+    rows = once(rows, "known", F.transform(words, lambda w, i: F.size("met") - F.size(F.array_remove("met", i + 1))))
     return rows.select(
         "doc_id",
         "lang",

@@ -102,3 +102,17 @@ def test_empty_table(make_docs):
 def test_no_python_and_no_shuffle_of_texts(make_docs):
     plan = divergence.counted(make_docs([(1, "a")]).selectExpr("*", "array('a') AS words"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_common_words_are_looked_up_by_place(spark, make_docs):
+    """No list of words is compared one by one with the common words; odd words and marks are counted as before."""
+    rows = [(1, "the The, a\x0b the. b,c %% (the) étè"), (2, " , the\n"), (3, ""), (4, None), (5, "x,y x y,")]
+    words = spark.createDataFrame([(["the", "bc", "étè", "xy"],)], "words array<string>")
+    docs = make_docs([(i, t, "en", "s") for i, t in rows]).na.fill("", ["text"])
+    out = divergence.counted(docs.crossJoin(words))
+    assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: list(r.hits) for r in out.collect()}
+    for doc_id, text in rows:
+        met = plain(text or "")
+        hits = [met.count(w) for w in ("the", "bc", "étè", "xy")]
+        assert got[doc_id] == [*hits, len(met) - sum(hits)]
