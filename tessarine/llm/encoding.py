@@ -23,8 +23,8 @@ PRE_TOKEN = (
     rf"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
 UNKNOWN = r"[^\t-\r -~\xa0-ɏ]"
-#: Where cutting a text before each space would cut a run of spaces apart.
-RUN_OF_SPACES = rf"[{SPACES}] (?:[{SPACES}]|\Z)"
+#: Where cutting a text before each space would cut a run of spaces apart, beside two spaces in a row.
+RUN_OF_SPACES = r"[\t-\r\xa0] (?:[\t-\r\xa0]|\Z)"
 CACHED = 500_000
 
 
@@ -70,11 +70,12 @@ class Encoder:
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True,
         }
         plain = plain and about.get("normalizer") is None and about.get("post_processor") is None
-        added = [re.escape(t["content"]) for t in about.get("added_tokens", [])]
-        self.whole = re.compile("|".join([UNKNOWN, *added]) if plain else "").search
+        # Searched one by one: a pattern of all of them would try each at every character.
+        self.added = [t["content"] for t in about.get("added_tokens", [])]
+        self.unknown = re.compile(UNKNOWN if plain else "").search
         self.runs = re.compile(RUN_OF_SPACES).search
         self.by_token = _Cache(self._token)
-        self.by_chunk = _Cache(self._chunk)
+        self.by_chunk = _Cache(lambda chunk: self._chunk(" " + chunk))
 
     def _token(self, token: str) -> bytes:
         if token.isascii() and token[1:].isalpha():
@@ -87,15 +88,17 @@ class Encoder:
         return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk[1:].isalpha() and chunk[0] == " " and chunk.isascii():  # one pre-token
+            return self.by_token[chunk]
         return b"".join(map(self.by_token.__getitem__, self.pre_tokens(chunk)))
 
     def encode(self, text: str) -> bytes:
-        if self.whole(text):
+        if self.unknown(text) or any(token in text for token in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if self.runs(text):
+        if "  " in text or self.runs(text):
             return self._chunk(text)
         first, *others = text.split(" ")
-        return b"".join(map(self.by_chunk.__getitem__, [first, *map(" ".__add__, others)]))
+        return self._chunk(first) + b"".join(map(self.by_chunk.__getitem__, others))
 
 
 def fingerprint_of(vocabulary: str) -> str:

@@ -63,3 +63,11 @@ def test_files_hold_every_document_in_order(spark, make_docs, tmp_path):
 def test_empty_table(spark, make_docs, tmp_path):
     token_files.write_token_ids(make_docs([]), str(tmp_path / "none"), PATH)
     assert token_files.read_token_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_words_after_a_space_are_kept_without_it():
+    encoder, text = Encoder(open(PATH).read()), "one two, one two, one été <|x one"
+    assert encoder.encode(text) == plain(text)
+    assert set(encoder.by_chunk) == {"two,", "one", "été", "<|x"}
+    for odd in (" one", "one ", "one\n ", "one \n", "\xa0 \xa0", "one\t two", "a<|endoftext|> b", "a  b"):
+        assert encoder.encode(odd) == plain(odd)
