@@ -85,3 +85,11 @@ def test_float_keys_match_eight_significant_digits(spark):
 
 def test_redaction_goes_in_order(spark):
     assert one(spark, T.redact(F.col("x"), ["abc", "", "b"]), "abcb") == "[REDACTED][REDACTED]"
+
+
+def test_folding_needs_no_python_worker(spark):
+    text = F.col("id").cast("string")
+    df = spark.range(1).select(T.lexical_tokens(text).alias("t"), T.nfkc(text).alias("n"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert one(spark, T.fold(F.col("x")), None) is None
+    assert one(spark, T.fold(F.col("x")), "") == ""
