@@ -127,3 +127,17 @@ def test_tokens_dealt_by_block_are_pooled_where_they_are(spark):
     assert plan.count("REPARTITION_BY_NUM") == 1 and plan.index("HashAggregate") < plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")
     between = plan[plan.index("SortMergeJoin") : plan.index("BroadcastHashJoin")]
     assert "Exchange hashpartitioning" not in between
+
+
+def test_last_boundary_is_found_in_one_pass(spark):
+    """As cutting at each boundary lazily from the left does it, and without lists or folds over them."""
+    import random
+    import re
+
+    boundary = re.compile(r"\n\s*\n|[.!?;:।॥]\s+|\n|,\s+")
+    rng = random.Random(11)
+    pool = list("abZ.!?;:,।\n\n \t\x85\xa0 \x1c1é。")
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", C.last_boundary(F.col("x")).alias("y"))
+    assert all(r.y == max((m.end() for m in boundary.finditer(r.x)), default=0) for r in df.collect())
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
