@@ -136,3 +136,14 @@ def test_schema_paths_equal_a_plain_walk(spark):
     assert {(r.path, t) for r in got for t in r.types} == found
     assert all(r.types == sorted(set(r.types)) for r in got)
     assert P.schema_paths(df.limit(0), "record").count() == 0
+
+
+def test_ratios_are_cut_from_the_texts_once(spark):
+    from tessarine.plans.profile_corpus import profile_corpus
+
+    schema = "language string, query string, Answer string, Eng_Query string, Eng_Answer string, passages struct<Translated_passages:array<string>,English_passages:array<string>,is_selected:array<int>>"
+    records = spark.createDataFrame([("de", "q", "a", None, None, (["eins zwei", ""], ["one", "two"], [1, 0]))], schema)
+    profile = profile_corpus(records)
+    ratio = {(r.language, r.metric): r["p50"] for r in profile.filter("metric like '%ratio'").collect()}
+    assert ratio == {(x, f"passage_translation_{m}_ratio"): v for x in ("de", None) for m, v in (("character", 3.0), ("word", 2.0))}
+    assert "passage_translation_word_ratio" not in profile._jdf.queryExecution().optimizedPlan().toString()
