@@ -73,7 +73,7 @@ class InOrder(StatefulProcessor):
             first = low if first is None else min(first, low)
             latest = high if latest is None else max(latest, high)
         self._set(timer, first, latest)
-        yield self._frame([])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -99,16 +99,20 @@ class InOrder(StatefulProcessor):
                 self.state.update(tuple(state))
                 self.waiting.put(later) if later else self.waiting.clear()
             self._set(None, min(r[0] for r in later) if later else None, latest)
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
 def _plain(column: pd.Series, kind: str) -> list:
-    """Python values of a column; numbers with nulls arrive as floats with NaN."""
-    values = column.astype(object).where(column.notna(), None).tolist()
-    return [None if v is None else int(v) for v in values] if kind == "long" else values
+    """Python values of a column; numbers with nulls arrive as floats with NaN.
+
+    A list is gone through once: a key has few rows, pandas would take longer to set out than to work.
+    """
+    to = int if kind == "long" else lambda v: v
+    return [None if v is None or v != v else to(v) for v in column.tolist()]
 
 
 def fold_in_order(events: DataFrame, processor: InOrder, lateness: str) -> DataFrame:

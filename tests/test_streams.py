@@ -202,3 +202,19 @@ def test_a_stream_without_input_has_no_answers(spark):
     events = spark.readStream.schema(ASKED).parquet(path)
     requests = spark.createDataFrame([("a",)], "request_id string")
     assert runs.answer_committed(events, requests, lambda asked: asked, "none-out").count() == 0
+
+
+def test_rows_of_a_key_cost_no_pandas_work():
+    import numpy as np
+    import pandas as pd
+
+    from tessarine.streaming.in_order import _plain
+
+    class Once(pd.Series):
+        """A column that may be listed and nothing else."""
+
+        def astype(self, *args, **kwargs):
+            raise AssertionError("set out anew")
+
+    assert _plain(Once([3.0, np.nan]), "long") == [3, None]
+    assert _plain(Once(["a", None], dtype=object), "string") == ["a", None]
