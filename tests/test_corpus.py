@@ -147,3 +147,12 @@ def test_ratios_are_cut_from_the_texts_once(spark):
     ratio = {(r.language, r.metric): r["p50"] for r in profile.filter("metric like '%ratio'").collect()}
     assert ratio == {(x, f"passage_translation_{m}_ratio"): v for x in ("de", None) for m, v in (("character", 3.0), ("word", 2.0))}
     assert "passage_translation_word_ratio" not in profile._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lengths_are_counted_before_percentiles(spark):
+    rows = [("de", "m", v) for v in (1, 1, 1, 4, None)] + [("fr", "m", 9)]
+    profile = P.profile_lengths(spark.createDataFrame(rows, "language string, metric string, value long"))
+    got = {r.language: (r["count"], r["mean"], r["p50"]) for r in profile.collect()}
+    assert got == {"de": (4, 1.75, 1.0), "fr": (1, 9.0, 9.0), None: (5, 3.2, 1.0)}
+    plan = profile._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("count(1)")
