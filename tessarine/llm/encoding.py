@@ -25,7 +25,7 @@ PRE_TOKEN = (
 UNKNOWN = r"[^\t-\r -~\xa0-ɏ]"
 #: Where cutting a text before each space would cut a run of spaces apart, beside two spaces in a row.
 RUN_OF_SPACES = r"[\t-\r\xa0] (?:[\t-\r\xa0]|\Z)"
-CACHED = 500_000
+CACHED = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,16 +36,21 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """A dictionary that computes what it lacks and starts anew when full."""
+    """A dictionary that computes what it lacks. When full it becomes the older one, whose used entries come back."""
 
     def __init__(self, compute):
         super().__init__()
         self.compute = compute
+        self.older = {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= CACHED:
+            self.older = self.copy()
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -75,7 +80,7 @@ class Encoder:
         self.unknown = re.compile(UNKNOWN if plain else "").search
         self.runs = re.compile(RUN_OF_SPACES).search
         self.by_token = _Cache(self._token)
-        self.by_chunk = _Cache(lambda chunk: self._chunk(" " + chunk))
+        self.by_chunk = _Cache(self._spaced)
 
     def _token(self, token: str) -> bytes:
         if token.isascii() and token[1:].isalpha():
@@ -87,9 +92,12 @@ class Encoder:
             ids.byteswap()
         return ids.tobytes()
 
+    def _spaced(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # letters alone are one pre-token with their space
+            return self.by_token[" " + chunk]
+        return self._chunk(" " + chunk)
+
     def _chunk(self, chunk: str) -> bytes:
-        if chunk[1:].isalpha() and chunk[0] == " " and chunk.isascii():  # one pre-token
-            return self.by_token[chunk]
         return b"".join(map(self.by_token.__getitem__, self.pre_tokens(chunk)))
 
     def encode(self, text: str) -> bytes:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessarine.llm.common import pieces, row_key, stored, words
+from tessarine.llm.common import pieces, row_key, small_batches, stored, words
 from tessarine.llm.components import components, forest
 from tessarine.llm.decontaminate import hash_words, shingle_hashes
 
@@ -300,9 +300,11 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     """One document of each component of documents linked at five-word Jaccard similarity SIMILARITY or more.
 
     Candidates come from wide SimHash fingerprints, links from the exact sets (as 64-bit hashes). Which document stays,
-    and the columns, are as in `drop_near_copies`; texts without words are equal.
+    and the columns, are as in `drop_near_copies`; texts without words are equal. A pair of tiles is a row of
+    over half a MB, so batches are kept small.
     """
-    sets = stored(shingle_sets(docs), "shingle-sets")
-    roots = components(similar_links(docs, sets)).withColumnRenamed("node", "key")
+    with small_batches(docs.sparkSession):
+        sets = stored(shingle_sets(docs), "shingle-sets")
+        roots = components(similar_links(docs, sets)).withColumnRenamed("node", "key")
     groups = sets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     return _first_rows(docs, groups.groupBy("root").agg(F.min("first").alias("first")))

@@ -10,6 +10,7 @@ and the ids of that word before it; ids of 60 bits or more are written 0 and sta
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessarine.llm.common import per_process, pieces
+from tessarine.llm.common import per_process, pieces, small_batches
 from tessarine.llm.encoding import Encoder, fingerprint_of
 
 #: Fixed values: (ids per word, bits per id) by selector 0 to 13.
@@ -27,7 +28,6 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 PER_WORD = np.array([n for n, _ in SELECTORS])
 BLOCK_IDS = 1 << 16
 STRIDE = 1024
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 BLOCKS = (
     "shard int, block int, first long, n_ids long, words binary, at array<int>, skip array<int>, "
@@ -50,19 +50,21 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             fits = fits[: len(fits) - step] & fits[step:]
             held += step
         np.putmask(best, fits[: len(ids)], selector)
-    steps, chosen = PER_WORD.tolist(), best.tobytes()
-    starts, at, end = [], 0, len(ids)
+    steps = PER_WORD.astype(np.uint8)[best].tobytes()
+    starts, at, end = array("q"), 0, len(ids)
     while at < end:
         starts.append(at)
-        at += steps[chosen[at]]
-    starts = np.array(starts)
+        at += steps[at]
+    starts = np.frombuffer(starts, dtype=np.int64)
     selectors = best[starts]
     words = selectors.astype("<u8")
     for selector in np.unique(selectors):
         n, width = SELECTORS[selector]
         own = np.flatnonzero(selectors == selector)
-        shifts = (4 + width * np.arange(n)).astype(np.uint64)
-        words[own] |= np.bitwise_or.reduce(padded[starts[own][:, None] + np.arange(n)] << shifts, axis=1)
+        begins, held = starts[own], words[own]
+        for k in range(n):
+            held |= padded[begins + k] << np.uint64(4 + width * k)
+        words[own] = held
     return words, starts
 
 
@@ -153,12 +155,8 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str | Path, end_id:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("mark", F.xxhash64("text"))
     dealt = docs.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
-    settings, held = docs.sparkSession.conf, docs.sparkSession.conf.get(BATCH_BYTES, None)
-    settings.set(BATCH_BYTES, "8m")  # a batch is held several times over, in the JVM and in Python
-    try:
+    with small_batches(docs.sparkSession):
         dealt.mapInArrow(task, BLOCKS).write.parquet(path)
-    finally:
-        settings.set(BATCH_BYTES, held) if held else settings.unset(BATCH_BYTES)
 
 
 LISTS = {"at": pa.int32(), "skip": pa.int32(), "escape_at": pa.int32(), "escape_value": pa.int64(), "doc_ids": pa.int64(), "doc_tokens": pa.int64()}
