@@ -11,6 +11,7 @@ from tessarine.operators import answers as A
 from tessarine.operators import guardrails as G
 from tessarine.operators import requests as R
 from tessarine.operators import retrieval as K
+from tessarine.session import spread_by
 
 
 def final_outcome() -> Column:
@@ -47,7 +48,7 @@ def retrieve_evidence(requests: DataFrame, chunks: DataFrame, **counts: int) ->
     """
     asked = ("query", "language_code", "final_k", "budget_ms")
     hits = K.two_stage_retrieve(requests, chunks, R.retrieval_depth(), asked, **counts)
-    cut = R.language_filter(hits)
+    cut = spread_by(R.language_filter(hits), "chunk_id")
     return K.with_chunks(cut, chunks, ["document_id", "text"])
 
 
@@ -114,7 +115,7 @@ def answer_batch(
     rows = chunks.count()
     asked, deepest = requests.agg(F.count(F.lit(1)), F.max("candidate_k")).first()
     evidence = retrieve_evidence(safe, chunks, chunk_rows=rows, request_rows=asked, deepest=deepest or 0)
-    selected = select_answers(G.assess_relevance(evidence, scope_terms))
+    selected = select_answers(G.assess_relevance(evidence, scope_terms, only_correct=True))
     routed = A.hybrid_routing(selected, fallback)
     contract = G.citation_contract(
         routed.withColumn("known", F.transform("evidence", lambda e: e["chunk_id"]))
