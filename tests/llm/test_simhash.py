@@ -142,3 +142,20 @@ def test_edited_copies_fall_at_five_word_similarity(make_docs, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 8)
     assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == kept
     assert simhash.drop_similar(make_docs([])).count() == 0
+
+
+def test_dedup_jobs_run_with_small_batches_and_the_setting_comes_back(spark, monkeypatch):
+    from tessarine.llm import components as C
+    from tessarine.llm.common import BATCH_BYTES, stored
+
+    seen, before = [], spark.conf.get(BATCH_BYTES, None)
+
+    def recorded(df, name):
+        seen.append(spark.conf.get(BATCH_BYTES, None))
+        return stored(df, name)
+
+    monkeypatch.setattr(simhash, "stored", recorded)
+    monkeypatch.setattr(C, "stored", recorded)
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "k l m")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == [1, 3]
+    assert set(seen) == {"8m"} and spark.conf.get(BATCH_BYTES, None) == before

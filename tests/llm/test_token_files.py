@@ -71,3 +71,13 @@ def test_words_after_a_space_are_kept_without_it():
     assert set(encoder.by_chunk) == {"two,", "one", "été", "<|x"}
     for odd in (" one", "one ", "one\n ", "one \n", "\xa0 \xa0", "one\t two", "a<|endoftext|> b", "a  b"):
         assert encoder.encode(odd) == plain(odd)
+
+
+def test_a_full_cache_keeps_what_is_used_again(monkeypatch):
+    from tessarine.llm import encoding
+
+    monkeypatch.setattr(encoding, "CACHED", 2)
+    made = []
+    cache = encoding._Cache(lambda key: made.append(key) or key.upper().encode())
+    assert [cache[k] for k in ("a", "b", "c", "a", "b", "a", "d", "e", "a")] == [b"A", b"B", b"C", b"A", b"B", b"A", b"D", b"E", b"A"]
+    assert made == ["a", "b", "c", "d", "e"] and len(cache) <= 2 and len(cache.older) <= 2

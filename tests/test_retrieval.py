@@ -107,3 +107,22 @@ def test_a_block_of_copies_returns_no_more_than_the_depth():
     for i in (3, 702, 1199):
         wanted = sorted(range(len(ids)), key=lambda j: (-exact[i, j], ids[j]))[: i % 4]
         assert got[got.request_id == f"r{i}"].chunk_id.tolist() == [ids[j] for j in wanted]
+
+
+def test_candidates_are_scored_where_vectors_meet_and_repeated_ids_keep_their_rows(spark):
+    rows = [("a", [1.0, 0.0], "en"), ("a", [0.0, 1.0], "fr"), ("b", [0.6, 0.8], "en"), ("c", None, "de"), (None, [1.0, 1.0], "en")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, full array<float>, language string")
+    asked = [("x", [1.0, 0.0], "q1"), ("x", [0.0, 1.0], "q2"), ("x", [0.0, 1.0], "q2"), ("y", [0.5, 0.5], "q3"), ("z", [1.0], "q4")]
+    requests = spark.createDataFrame(asked, "request_id string, full array<float>, query string")
+    hits = [(r, c, 0.5, n) for r in ("x", "y", "z", None) for n, c in enumerate(("a", "b", "c", None), 1)]
+    candidates = spark.createDataFrame(hits, "request_id string, chunk_id string, mrl_score double, mrl_rank int")
+    ranked = K.full_rerank(candidates, requests, chunks, carry=("query",))
+    assert "FlatMapCoGroupsInArrow" in ranked._jdf.queryExecution().executedPlan().toString()
+
+    def dot(q, c):
+        return round(sum(np.float64(np.float32(a)) * np.float64(np.float32(b)) for a, b in zip(q, c)), 9) if c and len(q) == len(c) else None
+
+    expected = [(r, c, lang, query, dot(q, v)) for r, q, query in asked for c, v, lang in rows if c]
+    got = [(r.request_id, r.chunk_id, r.language, r["query"], r.full_score) for r in ranked.collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert sorted(r.rank for r in ranked.collect() if r.request_id == "x") == list(range(1, 13))
