@@ -1,6 +1,10 @@
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from tessarine.operators import chunking as C
 from tessarine.operators import profile as P
 from tessarine.plans.build_index import build_index
 from tessarine.session import shared_folder
@@ -57,6 +61,62 @@ def test_index_holds_every_record(spark):
     assert build_index(df, tokens, prefix_dim=2, full_dim=4, max_documents=3).count() == 3
 
 
+def test_index_pools_by_window(spark):
+    """Texts longer than a window, blank passages and a record number that comes twice; tokens dealt out or not."""
+    rows = []
+    for number, passages in ((0, [" ".join(f"w{i}" for i in range(8500)), " ", "quay stone. wall"]), (1, ["salt marsh"]), (1, ["salt marsh"])):
+        row = list(ROW)
+        row[6], row[8], row[-1] = None, (passages, [], ["1"]), number
+        rows.append(tuple(row))
+    df = spark.createDataFrame(rows, SCHEMA)
+    docs = corpus.explode_passages(df, "record_no")
+    ids = F.transform(F.split("text", " "), lambda w: F.pmod(F.xxhash64(w), F.lit(7)))
+    dealt = C.by_window(docs.select(F.col("id").alias("document_id"), ids.alias("bank")), "bank")
+    bank = {i: [1.0, float(i), 0.5, 2.0] for i in range(7)}
+    held = collections.defaultdict(dict)
+    for r in dealt.collect():
+        assert r.window == r.pos // 8190
+        held[r.document_id][r.pos] = bank[r.bank]
+    assert sorted(map(len, held.values())) == [2, 2, 3, 8500]
+    tokens = dealt.join(F.broadcast(spark.createDataFrame([*bank.items()], "bank long, vector array<float>")), "bank").drop("bank")
+    plain = spark.createDataFrame([(d, p, v) for d, x in held.items() for p, v in x.items()], "document_id string, pos int, vector array<float>")
+    for given in (tokens, plain):
+        index = build_index(df, given, prefix_dim=2, full_dim=4).collect()
+        long = sorted((r.first_token, r.last_token) for r in index if r.token_count > 3)
+        assert {p for a, b in long for p in range(a, b)} == set(range(8500)) and any(a >= 8190 for a, _ in long)
+        assert sorted(collections.Counter(r.chunk_id for r in index if r.token_count < 4).values()) == [1, 4, 4]
+        for r in index:
+            of = [held[r.document_id][p] for p in range(r.first_token, r.last_token)]
+            mean = [sum(x) / len(of) for x in zip(*of)]
+            size = sum(x * x for x in mean) ** 0.5
+            assert all(abs(a - x / size) < 1e-6 for a, x in zip(r.full, mean, strict=True))
+            assert r.is_selected == r.document_id.endswith(":0") and r.query_id
+
+
+def test_index_moves_no_token_vectors(spark, tmp_path):
+    """Vectors looked up for tokens are summed before any sort or shuffle, and chunks are cut once."""
+    texts = ["First line of words, some more.\n\nquay stone and wall", " ".join(f"w{i % 50}" for i in range(300))]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    vectors = [(i, [float(i + j + 1) for j in range(64)]) for i in range(5)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # only what is asked to be broadcast, as on large tables
+    try:
+        index = __spark_entry__.queries()["build_index"](spark, str(tmp_path))
+        rows = index.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert {r.text for r in rows} >= {"First line of words, some more.", "quay stone and wall"} and {(r.full_dim, r.prefix_dim) for r in rows} == {(64, 16)}
+    assert {p for r in rows if r.token_count > 10 for p in range(r.first_token, r.last_token)} == set(range(300))
+    plan = index._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    summed, looked_up = plan.index("partial_sum"), plan.index("BroadcastHashJoin [cast(bank_id")
+    assert summed < looked_up and "SortMergeJoin" in plan[summed:looked_up]
+    assert "Sort [" not in plan[summed:looked_up] and "Exchange" not in plan[summed:looked_up]
+    assert "ReusedExchange [document_id" in plan
+
+
 def test_small_workloads_are_refused(spark):
     rows = spark.range(29)
     with pytest.raises(ValueError):
